@@ -14,7 +14,7 @@ get one copy more are those of smallest hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,10 +150,10 @@ def mix_documents(
         salted.withColumn("before", before)
         .join(copies, ["src", "z"])
         .join(state.select("src", F.col("total").alias("mix_source_size"), F.col("target").alias("mix_target")), "src")
-        .select(F.col("src").alias("__src"), F.col("z").alias("mix_size"), F.col("salt").alias("__salt"), "before", "n", "copies", F.col("rate").alias("mix_rate"), "mix_source_size", "mix_target")
+        .select(F.col("src").alias("__src"), F.col("z").alias("mix_size"), F.col("salt").alias("__salt"), F.col("before").alias("__before"), F.col("n").alias("__n"), F.col("copies").alias("__copies"), F.col("rate").alias("mix_rate"), "mix_source_size", "mix_target")
     )
-    place = F.col("before") + F.row_number().over(Window.partitionBy("__src", "mix_size", "__salt").orderBy("__hash", F.col(id_col)))
-    taken = F.expr("copies div n") + F.when(place <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__src", "mix_size", "__salt").orderBy("__hash", F.col(id_col)))
+    taken = F.expr("__copies div __n") + F.when(place <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
     return (
         keyed.join(cut(parts), ["__src", "mix_size", "__salt"])
         .withColumn("mix_copies", taken.cast("int"))
