@@ -1,0 +1,185 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from juryframe.functions import choice, frames, text
+from juryframe.operators import combine, report, split, stats, synthetic
+from juryframe.schema import EXPERTS, rounded
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def words(spark, *rows):
+    return spark.createDataFrame(list(rows), "i int, ref array<string>, hyp array<string>")
+
+
+@pytest.mark.parametrize(("policy", "rates"), [("score", [0.0, 0.0, 1.0]), ("rover", [0.0, 1.0, 1.0]), ("strict", [1.0, 1.0, 1.0]), ("equal", [0.0, 1.0, 1.0])])
+def test_empty_texts(spark, policy, rates):
+    df = words(spark, (0, [], []), (1, [], ["a"]), (2, ["a"], []))
+    rate = text.word_error_rate(text.word_distance(F.col("ref"), F.col("hyp")), F.size("ref"), F.size("hyp"), policy)
+    assert [r[0] for r in df.orderBy("i").select(rate).collect()] == rates
+
+
+def test_unknown_policy():
+    with pytest.raises(ValueError):
+        text.word_error_rate(F.lit(1), F.lit(1), F.lit(1), "other")
+
+
+def test_two_distances_agree(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice("aéßx") for _ in range(rng.randint(0, 9))], [rng.choice("aéßy") for _ in range(rng.randint(0, 9))]) for i in range(60)]
+    rows.append((99, [str(i) for i in range(700)], [str(i) for i in range(1, 701)]))
+    df = words(spark, *rows).select("i", text.word_distance(F.col("ref"), F.col("hyp")).alias("a"), text.word_distance_udf("ref", "hyp").alias("b"))
+    found = {r["i"]: (r["a"], r["b"]) for r in df.collect()}
+    assert all(a == b for a, b in found.values())
+    assert found[99] == (2, 2)
+
+
+def test_rate_can_exceed_one(spark):
+    df = words(spark, (0, ["a"], ["b", "c", "d"]))
+    assert df.select(text.word_error_rate(text.word_distance(F.col("ref"), F.col("hyp")), F.size("ref"), F.size("hyp"))).first()[0] == 3.0
+
+
+def test_clean_text(spark):
+    assert one(spark, text.clean_text(F.lit(" Été, n'est_pas!  "))) == "été nest_pas"
+    assert one(spark, text.clean_text(F.lit(None).cast("string"))) == ""
+    assert one(spark, text.clean_text_legacy(F.lit(None).cast("string"))) == "none"
+    assert one(spark, text.tokens(F.lit("  a  b\n"))) == ["a", "b"]
+    assert one(spark, text.tokens(F.lit(""))) == []
+    assert one(spark, text.int_list(F.lit("3, ,12"))) == [3, 12]
+    assert one(spark, text.title_of(F.lit("mlp_pool"))) == "Mlp Pool"
+
+
+def test_parse_runs():
+    assert text.parse_runs(["a=x=y", "b=z"]) == {"a": "x=y", "b": "z"}
+    for bad in ([], ["a"], ["=x"], ["a="], ["a=x", "a=y"]):
+        with pytest.raises(ValueError):
+            text.parse_runs(bad)
+
+
+def table_of(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "clip_id long, hubert_wer double, whisper_wer double, w2v2_wer double")
+
+
+def test_ties_and_nulls(spark):
+    df = table_of(spark, (1.0, 1.0, 1.0), (2.0, 1.0, 1.0), (None, 1.0, 2.0), (float("nan"), 0.5, 0.5))
+    labels = [r[0] for r in df.orderBy("clip_id").select(choice.oracle_label()).collect()]
+    assert labels == ["hubert", "whisper", "w2v2", "whisper"]
+
+
+def test_constant_column_has_no_correlation(spark):
+    found = stats.score_correlation(table_of(spark, (1.0, 0.1, 0.5), (1.0, 0.2, 0.1), (1.0, 0.3, 0.2))).first()
+    assert found["hubert_whisper_corr"] is None and found["w2v2_whisper_corr"] is not None
+    assert stats.score_correlation(table_of(spark, (1.0, 0.1, 0.5))).first()["w2v2_whisper_corr"] is None
+
+
+def test_class_that_never_wins(spark):
+    priors = stats.class_priors(table_of(spark, (0.1, 0.2, 0.3), (0.1, 0.2, 0.3)))
+    assert {r["expert"]: r["prior"] for r in priors.collect()} == {"hubert": 1.0, "whisper": 0.0, "w2v2": 0.0}
+    assert {r["expert"]: r["weight"] for r in stats.class_weights(priors).collect()} == {"hubert": 3.0, "whisper": 0.0, "w2v2": 0.0}
+
+
+def test_confusion_rows_sum_to_one_or_zero(spark):
+    df = table_of(spark, (0.1, 0.2, 0.3), (0.3, 0.2, 0.1)).withColumn("probs", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3)))
+    sums = {r["oracle"]: sum(r[f"to_{e}"] for e in EXPERTS) for r in stats.confusion_matrix(df).collect()}
+    assert sums == {"hubert": 1.0, "whisper": 0.0, "w2v2": 1.0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 101])
+def test_split_sizes(spark, n):
+    sizes = {r["split"]: r["n"] for r in split.split(spark.range(n), "id").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert (sizes.get("train", 0), sizes.get("val", 0)) == (int(n * 0.8), int(n * 0.1))
+    assert sum(sizes.values()) == n
+
+
+def test_ranks_are_global(spark):
+    df = split.ranked(spark.range(500), "id", 42).withColumn("h", split.hash_of(F.col("id"), 42))
+    rows = sorted(df.collect(), key=lambda r: r["h"])
+    assert [r["rn"] for r in rows] == list(range(1, 501)) and rows[0]["n_total"] == 500
+
+
+def test_select_split(spark):
+    df = split.split(spark.range(20), "id")
+    assert split.select_split(df, "all").count() == 20 and split.select_split(df, "val").count() == 2
+    with pytest.raises(ValueError):
+        split.select_split(df, "dev")
+
+
+def test_losses(spark):
+    import numpy as np
+
+    p, w, cw, eps = np.array([0.2, 0.5, 0.3]), np.array([0.4, 0.1, 0.1]), np.array([0.5, 1.5, 1.0]), 0.1
+    lp = np.log(p + 1e-8)
+    lp = lp - np.log(np.exp(lp).sum())
+    expected = -((1 - eps) * cw[1] * lp[1] + eps / 3 * (cw * lp).sum())
+    arr = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    loss, weight = choice.hard_cross_entropy_terms(arr(w), arr(p), arr(cw), eps)
+    assert math.isclose(one(spark, loss), expected, rel_tol=1e-9) and one(spark, weight) == 1.5
+    q = np.exp(-w / 0.5) / np.exp(-w / 0.5).sum()
+    assert np.allclose(one(spark, choice.soft_target(arr(w), 0.5)), q)
+    assert math.isclose(one(spark, choice.soft_cross_entropy(arr(q), arr(p))), -(q * np.log(p + 1e-8)).sum(), rel_tol=1e-9)
+    assert np.allclose(one(spark, choice.softmax(arr([1000.0, 1000.0]))), [0.5, 0.5])
+
+
+def test_rounding(spark):
+    assert one(spark, rounded(F.lit(-1e-9), 4)) == 0.0
+    assert math.copysign(1, one(spark, rounded(F.lit(-1e-9), 4))) == 1.0
+    assert one(spark, rounded(F.lit(-2.5), 0)) == -3.0
+
+
+def test_moving_average(spark):
+    import numpy as np
+
+    rows = [("a", i, float(i * i)) for i in range(7)] + [("b", 0, 5.0)]
+    df = spark.createDataFrame(rows, "run string, step int, value double")
+    for k in (1, 2, 3, 4, 5):
+        found = {(r["run"], r["step"]): r["smooth"] for r in report.moving_average(df, k, ["run"]).collect()}
+        want = np.convolve([i * i for i in range(7)], np.ones(k) / k, mode="same")
+        assert np.allclose([found["a", i] for i in range(7)], want)
+        assert found["b", 0] == 5.0
+
+
+def test_top_checkpoints_falls_back_to_the_best(spark):
+    df = spark.createDataFrame([("x", 2.0), ("y", 1.0)], "checkpoint string, value double")
+    assert [r["checkpoint"] for r in report.top_checkpoints(df, 0).collect()] == ["y"]
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]])], "k long, f array<array<float>>")
+    row = df.select(frames.pad(F.col("f"), F.lit(3), 2), frames.mask(F.col("f"), F.lit(3)), frames.pooled_vector(F.col("f"), 2), *frames.split_at(F.col("f"), F.lit(1)), frames.truncate(F.col("f"), 1)).first()
+    assert row[0] == [[1, 2], [3, 4], [0, 0]] and row[1] == [True, True, False] and row[2] == [2.0, 3.0]
+    assert row[3] == [[1, 2]] and row[4] == [[3, 4]] and row[5] == [[1, 2]]
+    empty = spark.createDataFrame([(1, [])], "k long, f array<array<float>>")
+    assert empty.select(frames.pooled_vector(F.col("f"), 2)).first()[0] == [0.0, 0.0]
+
+
+def test_assemble_needs_equal_keys(spark):
+    a = spark.createDataFrame([(1, "t", 0.1), (2, "u", 0.2)], "clip_id long, ground_truth string, whisper_wer double")
+    b = spark.createDataFrame([(2, "x", 0.3), (1, "y", 0.4)], "clip_id long, ground_truth string, hubert_wer double")
+    found = sorted(combine.assemble({"whisper": a, "hubert": b}, "clip_id").collect())
+    assert [(r["clip_id"], r["ground_truth"], r["hubert_wer"]) for r in found] == [(1, "t", 0.4), (2, "u", 0.3)]
+    with pytest.raises(Exception, match="tables differ"):
+        combine.assemble({"whisper": a, "hubert": b.limit(1)}, "clip_id").collect()
+    assert combine.assemble_keeping_first([a, b], "clip_id").columns == ["clip_id", "ground_truth", "whisper_wer", "hubert_wer"]
+
+
+def test_grid_without_known_experts(spark):
+    with pytest.raises(ValueError):
+        combine.variant_grid(spark, ["ami"], ["other"])
+
+
+def test_clips_have_two_regimes(spark):
+    rows = synthetic.clips(spark, 300, 3, 32).collect()
+    assert all(r["regime_first"] != r["regime_second"] and 8 <= r["switch_position"] < 24 for r in rows)
+    assert {r["regime_second"] for r in rows} == {0, 1, 2}
+
+
+def test_frames_do_not_depend_on_partitions(spark):
+    made = synthetic.clips(spark, 20, 3, 8)
+    a, b = (sorted(synthetic.with_frames(df, regimes=3, length=8).collect()) for df in (made, made.repartition(5)))
+    assert a == b and len(a[0]["hubert_features"]) == 8 and len(a[0]["hubert_features"][0]) == 16
