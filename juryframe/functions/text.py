@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
 #: Code points that stand for tokens, outside of those that Spark may change.
@@ -47,7 +48,7 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(vocabulary) <= MOST_CODES, coded)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_distance_udf(ref, hyp):
     """The same for lists of any vocabulary, a row of the table at a time."""
     import numpy as np
@@ -113,7 +114,7 @@ def digest8(path: Column) -> Column:
 
 def int_list(text: Column) -> Column:
     """Integers of a comma list, blanks skipped."""
-    return F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), lambda x: x.cast("int"))
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("int"))
 
 
 def parse_runs(specs: list[str]) -> dict[str, str]:

@@ -49,7 +49,7 @@ def half_scan(spark: SparkSession, path: str, features: Sequence[str], others: s
     return df.withColumns({c: decode_half(F.col(c)) for c in features})
 
 
-@F.pandas_udf("array<array<float>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
 def _decode(frames: pd.Series) -> pd.Series:
     one = lambda f: np.frombuffer(b"".join(f), "<f2").astype(np.float32)
     return pd.Series([None if x is None else [one(f) for f in x] for x in frames])
