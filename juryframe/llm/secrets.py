@@ -27,8 +27,8 @@ LEAST_ASSIGNED, WINDOW = 6, 20
 #: Class of a candidate, what it consists of, and the entropy in bits above which a window is a secret.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7))
 ALLOWED = (
-    r"[A-Za-z]?[a-z]*(?:[-_/=+]+[A-Za-z]?[a-z]*)*",  # words, and words in rows
-    r"[A-Z]+(?:[-_/=+]+[A-Z]*)*",
+    r"(?!.*[A-Za-z][A-Z])[A-Za-z/_=+-]+",  # words, and words in rows: no capital inside a word
+    r"[A-Z/_=+-]+",
     r"[0-9=+/_-]+",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
 )
