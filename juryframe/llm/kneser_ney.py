@@ -9,7 +9,9 @@ The finished model goes to the scoring tasks whole. Its size is bounded by the n
 it is checked before it is sent. Joining each document's n-grams with the counts instead would shuffle several
 times the input.
 
-A document is kept if its perplexity is at most a high quantile of the trusted documents in its language.
+A document is kept if its perplexity is at most a high quantile of the trusted documents in its language. As a model
+finds the text it was trained on too likely, documents are dealt to folds by the hash of their id, and each is scored by
+the model of the other folds' trusted text: trusted and other documents are then measured alike.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juryframe.llm.common import cut
@@ -27,6 +29,7 @@ ORDER, SYMBOLS, BITS = 4, 64, 6
 #: Characters handled at once; bounds a task's memory.
 CHUNK = 4_000_000
 QUANTILE, LEAST_TRUSTED = 0.999, 100
+FOLDS = 2
 
 
 def _folding() -> np.ndarray:
@@ -77,21 +80,24 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, c) of a table with one text column."""
+    """(fold, gram, c) of a table (text, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SYMBOLS**order, np.int64)
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in _chunks([t or "" for t in batch.column(0).to_pylist()]):
-                codes, _ = gram_codes(some, order)
-                grams, c = np.unique(codes, return_counts=True)
-                counts[grams] += c
-        seen = np.flatnonzero(counts)
-        for i in range(0, len(seen), 100_000):
-            part = seen[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["gram", "c"])
+            folds = batch.column(1).to_numpy()
+            for fold in np.unique(folds).tolist():
+                own = counts.setdefault(fold, np.zeros(SYMBOLS**order, np.int32))
+                for some in _chunks([t or "" for t in batch.column(0).filter(pa.array(folds == fold)).to_pylist()]):
+                    grams, c = np.unique(gram_codes(some, order)[0], return_counts=True)
+                    own[grams] += c.astype(np.int32)
+        for fold, own in counts.items():
+            seen = np.flatnonzero(own)
+            for i in range(0, len(seen), 100_000):
+                part = seen[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int32)), pa.array(own[part].astype(np.int64))], names=["fold", "gram", "c"])
 
-    return texts.mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "fold int, gram int, c long").groupBy("fold", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -104,9 +110,9 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.0), float(k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def train(texts: DataFrame, order: int = ORDER) -> list[dict[str, np.ndarray]]:
-    """For each order from 1: the discounted rate of each seen n-gram and the back-off weight of each seen context."""
-    level, tables = cut(count_grams(texts, order)), []
+def train(counts: DataFrame, order: int = ORDER) -> list[dict[str, np.ndarray]]:
+    """From counts (gram, c), for each order from 1: the discounted rate of each seen n-gram and the back-off weight of each seen context."""
+    level, tables = counts, []
     for k in range(order, 0, -1):
         d = discounts(level)
         taken = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
@@ -137,32 +143,38 @@ def log_probabilities(tables: list[dict[str, np.ndarray]]) -> np.ndarray:
     return np.log(p, out=p)
 
 
-def score(docs: DataFrame, tables: list[dict[str, np.ndarray]], columns: list[str], text_col: str) -> DataFrame:
-    """``columns`` of ``docs`` with n_symbols and perplexity of the text."""
-    order = len(tables)
-    size = sum(x.nbytes for t in tables for x in t.values())
-    if size > 4 * 8 * SYMBOLS**order:
-        raise ValueError("the model is larger than its alphabet allows")
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+def score(docs: DataFrame, models: list[list[dict[str, np.ndarray]]], columns: list[str], text_col: str, fold_col: str) -> DataFrame:
+    """``columns`` of ``docs`` with n_symbols and perplexity of the text under the model of the row's fold."""
+    order = len(models[0])
+    size = sum(x.nbytes for tables in models for t in tables for x in t.values())
+    if size > len(models) * 4 * 8 * SYMBOLS**order:
+        raise ValueError("the models are larger than their alphabet allows")
+    sent, width = docs.sparkSession.sparkContext.broadcast(models), len(columns)
     cache: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cache:
-            cache.append(log_probabilities(sent.value))
-        table = cache[0]
+            cache.extend(map(log_probabilities, sent.value))
         for batch in batches:
-            lengths, sums = [], []
-            for some in _chunks([t or "" for t in batch.column(len(columns)).to_pylist()]):
-                codes, n = gram_codes(some, order)
-                at = np.concatenate(([0], np.cumsum(n)[:-1]))
-                lengths.append(n)
-                sums.append(np.add.reduceat(table[codes].astype(np.float64), at))
-            n, s = (np.concatenate(x) if x else np.zeros(0) for x in (lengths, sums))
-            arrays = [*batch.columns[: len(columns)], pa.array(n.astype(np.int64)), pa.array(np.exp(-s / np.maximum(n, 1)))]
+            folds = batch.column(width + 1).to_numpy()
+            lengths, sums = np.zeros(len(folds), np.int64), np.zeros(len(folds))
+            for fold, table in enumerate(cache):
+                rows, at = np.flatnonzero(folds == fold), 0
+                for some in _chunks([t or "" for t in batch.column(width).take(pa.array(rows)).to_pylist()]):
+                    codes, n = gram_codes(some, order)
+                    these = rows[at : at + len(some)]
+                    lengths[these] = n
+                    sums[these] = np.add.reduceat(table[codes].astype(np.float64), np.concatenate(([0], np.cumsum(n)[:-1])))
+                    at += len(some)
+            arrays = [*batch.columns[:width], pa.array(lengths), pa.array(np.exp(-sums / np.maximum(lengths, 1)))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_symbols", "perplexity"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, text_col).mapInArrow(run, f"{kinds}, n_symbols long, perplexity double")
+    return docs.select(*columns, text_col, fold_col).mapInArrow(run, f"{kinds}, n_symbols long, perplexity double")
+
+
+def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(folds)).cast("int")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
@@ -173,10 +185,11 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
     (null is one) has fewer than ``least_trusted``. Null and empty texts have no words to judge: they are scored as an
     empty text and not kept. Without trusted documents there is no model: perplexity is 64 and everything with text is kept.
     """
-    own = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
+    own = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"), fold_of(docs[id_col]).alias("fold"))
     ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    tables = train(own.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text"), order)
-    scored = cut(score(own, tables, ["doc_id", "lang"], "text"))
+    counts = cut(count_grams(own.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text", "fold"), order))
+    models = [train(cut(counts.filter(F.col("fold") != k).groupBy("gram").agg(F.sum("c").alias("c"))), order) for k in range(FOLDS)]
+    scored = cut(score(own, models, ["doc_id", "lang"], "text", "fold"))
     known = scored.filter("n_symbols > 1").join(ids, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = known.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_trusted).select(F.col("lang").alias("l"), "own")
