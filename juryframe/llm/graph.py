@@ -10,13 +10,13 @@ from juryframe.llm.common import cut
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("root"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("root")))
     return down.join(least, "a").filter("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")).union(least.select("a", F.col("root").alias("b")))
 
 
@@ -24,8 +24,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
     Alternating large-star and small-star rounds. Each round aggregates before it joins, so a node with very many
-    links is reduced where they lie; what is left of its join is split by adaptive execution. Each round is kept in
-    the shared folder. Null links and links of a node to itself are not used.
+    links is reduced where they lie. The least neighbours are written before the join: its sides are then plain
+    shuffles, which adaptive execution splits where a node has most of the links. Each round is kept in the shared folder. Null links and links of a node to itself are not used.
     """
     links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
