@@ -88,3 +88,41 @@ def test_scoreboard(spark, tmp_path):
     query.stop()
     assert sorted(spark.table("board").collect()) == sorted(scoreboard(batch).collect())
     assert [(r["n"], r["hubert_share"]) for r in spark.table("board").orderBy("start").collect()] == [(2, 0.5), (1, 1.0)]
+
+
+def test_corpora(spark, tmp_path):
+    from juryframe.sources import registry
+
+    spark.createDataFrame([("hello",)], "normalized_text string").write.parquet(str(tmp_path / "en_accented/test"))
+    assert registry.read_corpus(spark, str(tmp_path), "voxpopuli").first()["text"] == "hello"
+    with pytest.raises(ValueError):
+        registry.read_corpus(spark, str(tmp_path), "other")
+
+
+def test_processed_path():
+    from juryframe.sources.registry import processed_path
+
+    known = {"a": ("s", "t")}
+    assert processed_path("a", known) == ("s", "t") and processed_path("a", known, target="u") == ("s", "u")
+    assert processed_path("b", known, "x", "y") == ("x", "y")
+    with pytest.raises(ValueError):
+        processed_path("b", known, "x")
+
+
+def test_legacy_files(spark, tmp_path):
+    import numpy as np
+
+    from juryframe.sources import registry
+
+    np.save(tmp_path / "0_hubert.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
+    assert registry.read_embeddings(spark, str(tmp_path / "*.npy")).first()["frames"] == [[1, 2], [3, 4]]
+    (tmp_path / "metadata.json").write_text('[{"sample_id": 0, "hubert_wer": 0.5}, {"sample_id": 1, "hubert_wer": 0.25}]')
+    assert registry.read_legacy_index(spark, str(tmp_path / "metadata.json")).agg(F.sum("hubert_wer")).first()[0] == 0.75
+
+
+def test_steps(spark, tmp_path):
+    from juryframe.sources import registry
+
+    spark.createDataFrame([("loss", 1, 0.5), ("acc", 1, 0.1)], "tag string, step long, value double").write.parquet(str(tmp_path / "a"))
+    found = registry.read_steps(spark, {"a": str(tmp_path / "a")}, ["loss", "gone"]).collect()
+    assert [tuple(r) for r in found] == [("a", "loss", 1, 0.5)]
