@@ -18,17 +18,32 @@ from pyspark.sql import functions as F
 GAP = ""
 
 
-def _costs(network: list[list[str]], words: list[str]) -> np.ndarray:
+def _mismatches(network: list[list[str]], words: list[str]) -> np.ndarray:
+    """1 where a slot holds no token equal to the word, else 0."""
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(words):
+        places.setdefault(word, []).append(j)
+    out = np.ones((len(network), len(words)), dtype=np.int32)
+    for i, slot in enumerate(network):
+        for word in places.keys() & set(slot):
+            out[i, places[word]] = 0
+    return out
+
+
+def _costs(mismatches: np.ndarray) -> np.ndarray:
     """Alignment costs of every prefix of the network with every prefix of the words."""
-    n, m = len(network), len(words)
-    steps = np.arange(m + 1)
+    n, m = mismatches.shape
+    steps = np.arange(m + 1, dtype=np.int32)
     cost = np.zeros((n + 1, m + 1), dtype=np.int32)
     cost[0] = steps
-    for i, slot in enumerate(network, 1):
-        pair = cost[i - 1, :-1] + np.fromiter((w not in slot for w in words), dtype=np.int32, count=m)
-        row = np.concatenate(([i], np.minimum(pair, cost[i - 1, 1:] + 1)))
+    for i in range(1, n + 1):
+        row = cost[i]
+        row[0] = i
+        np.minimum(cost[i - 1, :-1] + mismatches[i - 1], cost[i - 1, 1:] + 1, out=row[1:])
         # A row's insertions are a running minimum once the cost of moving along is taken off.
-        cost[i] = np.minimum.accumulate(row - steps) + steps
+        row -= steps
+        np.minimum.accumulate(row, out=row)
+        row += steps
     return cost
 
 
@@ -36,13 +51,14 @@ def merge(network: list[list[str]], words: list[str], width: int | None = None)
     """The network with one more hypothesis. ``width`` is the number of tokens a slot has so far; None takes the first slot's."""
     if width is None:
         width = len(network[0]) if network else 0
-    cost, out = _costs(network, words), []
+    mismatches = _mismatches(network, words)
+    cost, differs, out = _costs(mismatches).tolist(), mismatches.tolist(), []
     i, j = len(network), len(words)
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (words[j - 1] not in network[i - 1]):
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + differs[i - 1][j - 1]:
             i, j = i - 1, j - 1
             out.append([*network[i], words[j]])
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
             i -= 1
             out.append([*network[i], GAP])
         else:
