@@ -11,7 +11,8 @@ RANGES = 65536
 
 
 def hash_of(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """Hex digest of seed and id; a null id counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -30,7 +31,8 @@ def ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
     below = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("n_total"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy("__h", key))
-    return hashed.join(F.broadcast(starts), "__range").withColumn("rn", (F.col("__start") + place).cast("long")).drop("__h", "__range", "__start")
+    # Every range is there; a left join spares the check, made at the scan, that a row's hash is not null.
+    return hashed.join(F.broadcast(starts), "__range", "left").withColumn("rn", (F.col("__start") + place).cast("long")).drop("__h", "__range", "__start")
 
 
 def split(df: DataFrame, key: str, *, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:

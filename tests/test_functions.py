@@ -183,3 +183,8 @@ def test_frames_do_not_depend_on_partitions(spark):
     made = synthetic.clips(spark, 20, 3, 8)
     a, b = (sorted(synthetic.with_frames(df, regimes=3, length=8).collect()) for df in (made, made.repartition(5)))
     assert a == b and len(a[0]["hubert_features"]) == 8 and len(a[0]["hubert_features"][0]) == 16
+
+
+def test_null_and_repeated_ids_are_split(spark):
+    df = spark.createDataFrame([(None,), (None,), (1,), (1,), (2,)], "id long")
+    assert sorted(r["rn"] for r in split.ranked(df, "id", 1).collect()) == [1, 2, 3, 4, 5]
