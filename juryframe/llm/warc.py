@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juryframe.llm.common import shared_dir
+from juryframe.llm.common import cut, shared_dir
 
 SEGMENT, CHUNK_BYTES, RECORDS_A_FILE = 32_768, 8_192, 1_000
 END = "\r\n\r\n"
@@ -111,7 +111,8 @@ def mark_revisits(pages: DataFrame, *, id_col: str, payload_col: str, least_byte
     """
     payload = F.coalesce(pages[payload_col], F.lit(""))
     keyed = pages.withColumn("__key", F.sha2(payload, 256)).withColumn("__long", F.octet_length(payload) >= least_bytes)
-    firsts = keyed.groupBy("__key").agg(F.min(id_col).alias("__first"))
+    # Written first, so that the join's sides are plain shuffles: a payload of very many pages can then be split.
+    firsts = cut(keyed.groupBy("__key").agg(F.min(id_col).alias("__first")))
     revisit = F.col("__long") & F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
     return (
         keyed.join(firsts, "__key")
