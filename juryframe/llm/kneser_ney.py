@@ -1,13 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Symbols are characters folded into 64 classes (case kept, digits alike, accents and rare marks grouped), so there are at
-most 64**order n-grams whatever the input. Every task counts its trusted documents into one array and sends on the
-n-grams it saw; counts are summed by n-gram. Continuation counts, discounts and back-off weights are aggregations and
-joins of the count tables, dealt by n-gram and by context. A document's perplexity is that of its whole text.
+Symbols are the characters themselves, so the number of n-grams grows with the input and no table of them is ever held
+whole. Counts, continuation counts, discounts and back-off weights are aggregations and joins of tables dealt by n-gram.
 
-The finished model goes to the scoring tasks whole. Its size is bounded by the number of n-grams, 64**4 at order 4, and
-it is checked before it is sent. Joining each document's n-grams with the counts instead would shuffle several
-times the input.
+Documents are dealt into blocks of neighbouring ids. A block asks for each of its different n-grams once; the questions
+are joined with the sharded counts, order by order, and the answers go back to the block, where they meet its texts. So
+what is joined grows with the different n-grams of a block and not with the characters of each document, and a task
+holds one block's texts and answers. Where ids are not in the order of the files this stays right, but a block's
+questions come from more tasks.
 
 A document is kept if its perplexity is at most a high quantile of the trusted documents in its language. As a model
 finds the text it was trained on too likely, documents are dealt to folds by the hash of their id, and each is scored by
@@ -20,51 +20,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juryframe.llm.common import cut
 
-ORDER, SYMBOLS, BITS = 4, 64, 6
+ORDER = 4
+#: Stands before and after each text; also for the character NUL.
+EDGE = "\x02"
 #: Characters handled at once; bounds a task's memory.
 CHUNK = 4_000_000
 QUANTILE, LEAST_TRUSTED = 0.999, 100
 FOLDS = 2
+#: 2**13 neighbouring ids make a block in each fold.
+BLOCK_BITS = 13
+#: Bits of the filter for trusted ids. It only spares texts a shuffle; the join after it decides.
+FILTER_BITS = 1 << 26
+_NO_ID, _NO_TEXT = -(1 << 61), -(1 << 62)
+
+
+def _windows(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, points, starts, lengths): the texts with their edges in a row, and where the windows of n symbols begin."""
+    pad = EDGE * (order - 1)
+    joined = "".join(f"{pad}{t}{EDGE}" for t in texts).replace("\0", EDGE)
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    after = np.cumsum(lengths + order - 1)
+    inside = np.ones(len(joined), bool)
+    for k in range(1, order):
+        inside[after - k] = False
+    return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.flatnonzero(inside), lengths
 
 
-def _folding() -> np.ndarray:
-    """Class of each code point below 0x3000: 0 is the boundary, 1 to 26 and 27 to 52 letters, the rest groups."""
-    lut = np.full(0x3000, 63, np.uint8)
-    for i in range(26):
-        lut[97 + i], lut[65 + i] = 1 + i, 27 + i
-    lut[48:58] = 53
-    for i, group in enumerate((" ", "\t\n\x0b\x0c\r", ".", ",", ";:?!", "'\"()-", "#$%&*<>|=+@/\\~^_`{}[]"), 54):
-        for c in group:
-            lut[ord(c)] = i
-    for c in range(0xC0, 0x250):
-        lut[c] = 61 if chr(c).islower() else 62
-    return lut
-
-
-FOLD = _folding()
-
-
-def gram_codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, lengths): the n-grams that end at each character and at the end of each text, one text after another."""
-    n = np.array([len(t) + 1 for t in texts], np.int64)
-    at = np.concatenate(([0], np.cumsum(n + order - 1)))[:-1] if len(texts) else np.zeros(0, np.int64)
-    pad = "\0" * (order - 1)
-    points = np.frombuffer("".join(f"{pad}{t}\0" for t in texts).encode("utf-32-le"), np.uint32)
-    symbols = FOLD[np.minimum(points, len(FOLD) - 1)]
-    symbols[points == 0] = 0
-    codes = np.zeros(max(0, len(symbols) - order + 1), np.int32)
+def _codes(symbols: np.ndarray, base: int, order: int) -> np.ndarray:
+    """A number for the window that begins at each symbol; the last ones are cut short and meaningless."""
+    codes = np.zeros(len(symbols), np.int64)
     for k in range(order):
-        codes = (codes << BITS) | symbols[k : k + len(codes)]
-    # Windows that begin in one text and end in the next one's padding belong to neither.
-    inside = np.ones(len(codes), bool)
-    for k in range(1, order):
-        inside[at[1:] - k] = False
-    return codes[inside], n
+        codes *= base
+        codes[: len(symbols) - k] += symbols[k:]
+    return codes
+
+
+def _fits(base: int, order: int) -> bool:
+    return base**order < 1 << 62
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -79,102 +77,195 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
+def gram_counts(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
+    """The different n-grams of the texts, each of ``order`` characters, and how often they occur."""
+    joined, points, starts, _ = _windows(texts, order)
+    alphabet = np.flatnonzero(np.bincount(points)).astype(np.uint32)
+    if not _fits(len(alphabet), order):
+        grams, counts = np.unique(np.array([joined[i : i + order] for i in starts.tolist()]), return_counts=True)
+        return grams.tolist(), counts
+    place = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    codes, counts = np.unique(_codes(place[points], len(alphabet), order)[starts], return_counts=True)
+    digits = np.stack([codes // len(alphabet) ** k % len(alphabet) for k in range(order - 1, -1, -1)], axis=1)
+    return np.ascontiguousarray(alphabet[digits]).view(f"<U{order}").ravel().tolist(), counts
+
+
+class Answers:
+    """ln p of the n-grams of one block."""
+
+    def __init__(self, grams: list[str], values: np.ndarray, order: int):
+        self.order, points = order, np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
+        self.alphabet = np.flatnonzero(np.bincount(points)).astype(np.uint32)
+        self.known = dict(zip(grams, values.tolist(), strict=True)) if not _fits(len(self.alphabet), order) else None
+        if self.known is None:
+            self.place = np.zeros(int(self.alphabet[-1]) + 1, np.int64)
+            self.place[self.alphabet] = np.arange(len(self.alphabet))
+            codes = _codes(self.place[points], len(self.alphabet), order)[::order]
+            by_code = np.argsort(codes)
+            self.codes, self.values = codes[by_code], values[by_code]
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, sum of ln p) of each text; the edge after a text is one of its symbols."""
+        joined, points, starts, lengths = _windows(texts, self.order)
+        if self.known is not None:
+            values = np.array([self.known[joined[i : i + self.order]] for i in starts.tolist()])
+        else:
+            codes = _codes(self.place[points], len(self.alphabet), self.order)[starts]
+            values = self.values[np.searchsorted(self.codes, codes)]
+        return lengths, np.add.reduceat(values, np.cumsum(lengths) - lengths)
+
+
+def fold_of(doc_id: Column, text: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.when(doc_id.isNull(), text)), F.lit(FOLDS)).cast("int")
+
+
+def block_of(doc_id: Column, text: Column) -> Column:
+    """Rows without an id are dealt by their text."""
+    return F.coalesce(F.shiftright(doc_id, BLOCK_BITS), F.lit(_NO_ID) - F.pmod(F.xxhash64(text), F.lit(4096)))
+
+
+def _maybe_trusted(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``own`` (doc_id, text, fold) whose id may be among ``ids``: all of these and, by chance, others.
+
+    The filter has a fixed size. Where ids are so many that it is full, all rows pass.
+    """
+    at = lambda df: df.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("__at"))
+    one = F.col("__at") + 1
+    rows = at(ids).groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:  # at most FILTER_BITS / 32768 rows of 4 KB
+        begin = (row["bucket"] - 1) * 4096
+        bits[begin : begin + 4096] = np.frombuffer(row["bits"], np.uint8)
+    sent = own.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(3).to_numpy()
+            found = (sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(found.astype(bool))).select([0, 1, 2])
+
+    return at(own.select("doc_id", "text", "fold")).mapInArrow(run, "doc_id long, text string, fold int")
+
+
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(fold, gram, c) of a table (text, fold)."""
+    """(model, gram, c) of a table (text, fold): each fold's texts are counted for the models of all other folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             folds = batch.column(1).to_numpy()
             for fold in np.unique(folds).tolist():
-                own = counts.setdefault(fold, np.zeros(SYMBOLS**order, np.int32))
-                for some in _chunks([t or "" for t in batch.column(0).filter(pa.array(folds == fold)).to_pylist()]):
-                    grams, c = np.unique(gram_codes(some, order)[0], return_counts=True)
-                    own[grams] += c.astype(np.int32)
-        for fold, own in counts.items():
-            seen = np.flatnonzero(own)
-            for i in range(0, len(seen), 100_000):
-                part = seen[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int32)), pa.array(own[part].astype(np.int64))], names=["fold", "gram", "c"])
-
-    return texts.mapInArrow(run, "fold int, gram int, c long").groupBy("fold", "gram").agg(F.sum("c").alias("c"))
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ from the numbers of n-grams seen once to four times; 0.5, 1, 1.5 where those are missing."""
-    row = counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = row
-    if not (n1 and n2 and n3 and n4):
-        return [0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.0), float(k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-
-
-def train(counts: DataFrame, order: int = ORDER) -> list[dict[str, np.ndarray]]:
-    """From counts (gram, c), for each order from 1: the discounted rate of each seen n-gram and the back-off weight of each seen context."""
-    level, tables = counts, []
+                for some in _chunks(batch.column(0).filter(pa.array(folds == fold)).to_pylist()):
+                    grams, counts = gram_counts(some, order)
+                    yield pa.RecordBatch.from_arrays([pa.array([fold] * len(grams), pa.int32()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["fold", "gram", "c"])
+
+    counted = texts.filter("text <> ''").select("text", "fold").mapInArrow(run, "fold int, gram string, c long").groupBy("fold", "gram").agg(F.sum("c").alias("c"))
+    others = F.array_except(F.array(*map(F.lit, range(FOLDS))), F.array("fold"))
+    return counted.select(F.explode(others).alias("model"), "gram", "c").groupBy("model", "gram").agg(F.sum("c").alias("c"))
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3), from the numbers of n-grams seen once to four times; 0.5, 1, 1.5 where one of those is 0."""
+    seen = counts.groupBy("model").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    full = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    d = lambda k, usual: F.when(full, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0)), F.lit(float(k)))).otherwise(F.lit(usual)).alias(f"d{k}")
+    return seen.select("model", d(1, 0.5), d(2, 1.0), d(3, 1.5))
+
+
+def levels(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """From counts (model, gram, c), for each order from 1: (model, gram, rate), the discounted rate of each seen n-gram,
+    and (model, context, weight), the back-off weight of each seen context."""
+    out, level = [], counts
     for k in range(order, 0, -1):
-        d = discounts(level)
-        taken = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        by_context = level.withColumn("context", F.shiftright("gram", BITS) if k > 1 else F.lit(0))
-        contexts = by_context.groupBy("context").agg(F.sum("c").alias("total"), F.sum(taken).alias("left"))
-        rates = by_context.join(contexts, "context").select("gram", ((F.col("c") - taken) / F.col("total")).cast("float").alias("rate"))
-        weights = contexts.select("context", (F.col("left") / F.col("total")).cast("float").alias("weight"))
-        # At most 64**k rows of 8 bytes each.
-        a, b = rates.toArrow(), weights.toArrow()
-        tables.append({"gram": a["gram"].to_numpy(), "rate": a["rate"].to_numpy(), "context": b["context"].to_numpy(), "weight": b["weight"].to_numpy()})
+        few = F.broadcast(discounts(level))  # a row a fold
+        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        cuts = level.join(few, "model").select("model", "gram", F.substring("gram", 1, k - 1).alias("context"), "c", taken.alias("taken"))
+        contexts = cut(cuts.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum("taken").alias("left")))
+        rates = cuts.join(contexts if k > 1 else F.broadcast(contexts), ["model", "context"]).select("model", "gram", ((F.col("c") - F.col("taken")) / F.col("total")).alias("rate"))
+        out.append((rates, contexts.select("model", "context", (F.col("left") / F.col("total")).alias("weight"))))
         if k > 1:
-            level = cut(level.select((F.col("gram") % F.lit(SYMBOLS ** (k - 1))).cast("int").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")))
-    return tables[::-1]
-
-
-def log_probabilities(tables: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """ln p(last symbol | the others) for every n-gram: each order interpolates with the one below, the first with 1 / 64."""
-    p = np.full(1, 1 / SYMBOLS, np.float32)
-    for k, t in enumerate(tables, 1):
-        weight = np.ones(SYMBOLS ** (k - 1), np.float32)
-        weight[t["context"]] = t["weight"]
-        # The lower order's context is this one's without its first symbol.
-        below = np.broadcast_to(p, (SYMBOLS,)) if k == 1 else np.tile(p, SYMBOLS)
-        p = below.astype(np.float32, copy=True).reshape(-1, SYMBOLS)
-        p *= weight[:, None]
-        p = p.ravel()
-        p[t["gram"]] += t["rate"]
-    return np.log(p, out=p)
-
-
-def score(docs: DataFrame, models: list[list[dict[str, np.ndarray]]], columns: list[str], text_col: str, fold_col: str) -> DataFrame:
-    """``columns`` of ``docs`` with n_symbols and perplexity of the text under the model of the row's fold."""
-    order = len(models[0])
-    size = sum(x.nbytes for tables in models for t in tables for x in t.values())
-    if size > len(models) * 4 * 8 * SYMBOLS**order:
-        raise ValueError("the models are larger than their alphabet allows")
-    sent, width = docs.sparkSession.sparkContext.broadcast(models), len(columns)
-    cache: list[np.ndarray] = []
+            level = cut(level.groupBy("model", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
+    return out[::-1]
+
+
+def probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(model, gram, p) for every n-gram asked for: each order interpolates with the one below, the first with 1 / (V + 1)
+    for V known symbols, so that the symbols that were never seen share one place."""
+    sets = [asked]
+    for k in range(len(model) - 1, 0, -1):
+        sets.append(sets[-1].select("model", F.substring("gram", 2, k).alias("gram")).distinct())
+    size = model[0][0].groupBy("model").agg(F.count(F.lit(1)).alias("size"))
+    p = sets[-1].select("model").distinct().join(F.broadcast(size), "model", "left").select("model", F.lit("").alias("suffix"), (1.0 / (F.coalesce("size", F.lit(0)) + 1)).alias("below"))
+    for k, ((rates, weights), grams) in enumerate(zip(model, sets[::-1], strict=True), 1):
+        keyed = grams.select("model", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        value = F.coalesce("rate", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("below")
+        if k == 1:  # a row a fold each
+            p, weights = F.broadcast(p), F.broadcast(weights)
+        p = keyed.join(p, ["model", "suffix"]).join(weights, ["model", "context"], "left").join(rates, ["model", "gram"], "left").select("model", "gram", value.alias("p"))
+        if k < len(model):
+            p = p.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+    return p
+
+
+def questions(own: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, model, gram): the different n-grams of each block's texts; a fold is scored by its own model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.extend(map(log_probabilities, sent.value))
-        for batch in batches:
-            folds = batch.column(width + 1).to_numpy()
-            lengths, sums = np.zeros(len(folds), np.int64), np.zeros(len(folds))
-            for fold, table in enumerate(cache):
-                rows, at = np.flatnonzero(folds == fold), 0
-                for some in _chunks([t or "" for t in batch.column(width).take(pa.array(rows)).to_pylist()]):
-                    codes, n = gram_codes(some, order)
-                    these = rows[at : at + len(some)]
-                    lengths[these] = n
-                    sums[these] = np.add.reduceat(table[codes].astype(np.float64), np.concatenate(([0], np.cumsum(n)[:-1])))
-                    at += len(some)
-            arrays = [*batch.columns[:width], pa.array(lengths), pa.array(np.exp(-sums / np.maximum(lengths, 1)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_symbols", "perplexity"])
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2)], axis=1)
+            for block, fold in np.unique(keys, axis=0).tolist():
+                mine = pa.array((keys == (block, fold)).all(axis=1))
+                for some in _chunks(batch.column(0).filter(mine).to_pylist()):
+                    grams = gram_counts(some, order)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array([fold] * len(grams), pa.int32()), pa.array(grams, pa.string())], names=["block", "model", "gram"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, text_col, fold_col).mapInArrow(run, f"{kinds}, n_symbols long, perplexity double")
+    return own.filter("text <> ''").select("text", "block", "fold").mapInArrow(run, "block long, model int, gram string").distinct()
 
 
-def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(folds)).cast("int")
+def pack(own: DataFrame) -> DataFrame:
+    """(block, model, rows): the rows of each block as compressed Arrow tables; texts are shuffled in this form.
+
+    Null and empty texts need no answers, so they stay in blocks by task, however many they are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, options = TaskContext.get().partitionId(), pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            blank = np.array([not x for x in batch.column("text").to_pylist()], bool)
+            keys = np.stack([np.where(blank, _NO_TEXT - part, batch.column("block").to_numpy()), np.where(blank, 0, batch.column("fold").to_numpy())], axis=1)
+            found = np.unique(keys, axis=0).tolist() if len(keys) else []
+            out = []
+            for key in found:
+                rows, sink = batch.select(["doc_id", "lang", "text"]).filter(pa.array((keys == key).all(axis=1))), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(rows)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int32()), pa.array(out, pa.binary())], names=["block", "model", "rows"])
+
+    return own.mapInArrow(run, "block long, model int, rows binary")
+
+
+def score(packed: DataFrame, answers: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity) of the blocks' texts; n_symbols 0 and null for blank ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
+
+    def run(_, blocks: pa.Table, found: pa.Table) -> pa.Table:
+        known = Answers(found["gram"].to_pylist(), found["ln_p"].to_numpy(), order) if found.num_rows else None
+        out = [schema.empty_table()]
+        for rows in blocks["rows"] if blocks.num_rows else []:
+            table = pa.ipc.open_stream(rows.as_buffer()).read_all()
+            texts = table["text"].to_pylist()
+            if known is None:
+                n, perplexity = pa.array([0] * len(texts), pa.int64()), pa.nulls(len(texts), pa.float64())
+            else:
+                parts = [known.score(some) for some in _chunks(texts)]
+                n, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+                perplexity = np.exp(-sums / n)
+            out.append(pa.table([table["doc_id"], table["lang"], n, perplexity], schema=schema))
+        return pa.concat_tables(out)
+
+    keys = ["block", "model"]
+    return packed.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
@@ -182,18 +273,21 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
 
     ``trusted`` has the doc_id of trusted documents; all of them are counted, repeated ids once each row of ``docs``.
     The threshold is the quantile of the language's trusted documents, or of all of them where the language
-    (null is one) has fewer than ``least_trusted``. Null and empty texts have no words to judge: they are scored as an
-    empty text and not kept. Without trusted documents there is no model: perplexity is 64 and everything with text is kept.
+    (null is one) has fewer than ``least_trusted``. Null and empty texts have no symbols and no perplexity and are not
+    kept. Without trusted documents there is no model: perplexity is 1 and everything with text is kept.
     """
-    own = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"), fold_of(docs[id_col]).alias("fold"))
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    counts = cut(count_grams(own.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text", "fold"), order))
-    models = [train(cut(counts.filter(F.col("fold") != k).groupBy("gram").agg(F.sum("c").alias("c"))), order) for k in range(FOLDS)]
-    scored = cut(score(own, models, ["doc_id", "lang"], "text", "fold"))
-    known = scored.filter("n_symbols > 1").join(ids, "doc_id", "left_semi")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
+    own = own.withColumns({"fold": fold_of(F.col("doc_id"), F.col("text")), "block": block_of(F.col("doc_id"), F.col("text"))})
+    ids = trusted.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
+    counts = cut(count_grams(_maybe_trusted(own, ids).join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), order))
+    asked = cut(questions(own, order))
+    p = probabilities(asked.select("model", "gram").distinct(), levels(counts, order))
+    answers = asked.join(p, ["model", "gram"]).select("block", "model", "gram", F.log("p").alias("ln_p"))
+    scored = cut(score(pack(own), answers, order))
+    known = scored.filter("n_symbols > 0").join(ids, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = known.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_trusted).select(F.col("lang").alias("l"), "own")
     overall = known.agg(at.alias("overall"))
     judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(overall, how="cross")  # one row
     threshold = F.coalesce("own", "overall")
-    return judged.select("doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"), ((F.col("n_symbols") > 1) & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("kept"))
+    return judged.select("doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"), ((F.col("n_symbols") > 0) & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("kept"))

@@ -9,9 +9,9 @@ from juryframe.llm import kneser_ney as kn
 from juryframe.llm.queries import op9_kneser_ney
 
 
-def symbols(text):
-    """Classes of a text's characters; a NUL is a boundary, as is the end of the text."""
-    return [0 if c == "\0" else int(kn.FOLD[min(ord(c), len(kn.FOLD) - 1)]) for c in text]
+def padded(text, order):
+    """The text between its edges; a NUL is an edge."""
+    return kn.EDGE * (order - 1) + text.replace("\0", kn.EDGE) + kn.EDGE
 
 
 class Plain:
@@ -21,8 +21,8 @@ class Plain:
         self.order = order
         level = Counter()
         for t in texts:
-            s = [0] * (order - 1) + symbols(t) + [0]
-            level.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+            s = padded(t, order)
+            level.update(s[i : i + order] for i in range(len(s) - order + 1))
         self.levels = {order: level}
         for k in range(order - 1, 0, -1):
             self.levels[k] = Counter(g[1:] for g in self.levels[k + 1])
@@ -44,7 +44,7 @@ class Plain:
     def p(self, gram):
         k = len(gram)
         if not k:
-            return 1 / kn.SYMBOLS
+            return 1 / (len(self.levels[1]) + 1)
         below = self.p(gram[1:])
         total, left = self.context[k]
         if gram[:-1] not in total:
@@ -54,29 +54,49 @@ class Plain:
         return rate + left[gram[:-1]] / total[gram[:-1]] * below
 
     def perplexity(self, text):
-        s = [0] * (self.order - 1) + symbols(text) + [0]
-        logs = [math.log(self.p(tuple(s[i : i + self.order]))) for i in range(len(s) - self.order + 1)]
+        s = padded(text, self.order)
+        logs = [math.log(self.p(s[i : i + self.order])) for i in range(len(s) - self.order + 1)]
         return math.exp(-sum(logs) / len(logs))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_model_against_definition(spark, prose, order):
-    texts = [*(prose(20 + i, i) for i in range(12)), "", "a\0b", "Ünï 漢"]
-    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate([*texts, None])], "text string, fold int").repartition(3)
-    tables = kn.train(kn.count_grams(df, order).groupBy("gram").agg(F.sum("c").alias("c")), order)
-    plain, logs = Plain([*texts, ""], order), kn.log_probabilities(tables)
-    assert np.allclose(np.exp(logs.reshape(-1, kn.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
-    rng = np.random.default_rng(1)
-    for code in [*rng.integers(0, kn.SYMBOLS**order, 200).tolist(), *kn.gram_codes(texts, order)[0][:300].tolist()]:
-        gram = tuple((code >> (kn.BITS * (order - 1 - i))) & 63 for i in range(order))
-        assert math.exp(logs[code]) == pytest.approx(plain.p(gram), rel=1e-4)
-
-
-def test_codes_do_not_cross_texts(prose):
-    texts = ["ab", "", "c", prose(5, 1), "\0"]
-    codes, n = kn.gram_codes(texts, 4)
-    apart = np.concatenate([kn.gram_codes([t], 4)[0] for t in texts])
-    assert codes.tolist() == apart.tolist() and n.tolist() == [len(t) + 1 for t in texts]
+    texts = [*(prose(20 + i, i) for i in range(12)), "a\0b", "Ünï 漢 😀"]
+    df = spark.createDataFrame([(t, 0) for t in [*texts, "", None]], "text string, fold int").repartition(3)
+    counts, plain = kn.count_grams(df, order), Plain(texts, order)
+    assert {r["gram"]: r["c"] for r in counts.filter("model = 1").collect()} == dict(plain.levels[order])
+    vocabulary = [*plain.levels[1], "\u3042"]  # all known symbols and an unknown one
+    contexts = {g[:-1] for g in list(plain.levels[order])[:40]} | {"\u3042" * (order - 1), ("\u3042a" * order)[: order - 1]}
+    asked = spark.createDataFrame([(1, c + w) for c in contexts for w in vocabulary], "model int, gram string")
+    found = {r["gram"]: r["p"] for r in kn.probabilities(asked, kn.levels(counts, order)).collect()}
+    assert found == pytest.approx({g: plain.p(g) for g in found}, rel=1e-9) and len(found) == len(contexts) * len(vocabulary)
+    for c in contexts:
+        assert sum(found[c + w] for w in vocabulary) == pytest.approx(1)
+
+
+def test_grams_do_not_cross_texts(prose, monkeypatch):
+    texts = ["ab", "", "c", prose(5, 1), "\0", "漢字 😀"]
+    apart = Counter(s[i : i + 4] for s in (padded(t, 4) for t in texts) for i in range(len(s) - 3))
+    grams, counts = kn.gram_counts(texts, 4)
+    assert dict(zip(grams, counts.tolist(), strict=True)) == apart
+    values = np.arange(1.0, len(grams) + 1)
+    n, sums = kn.Answers(grams, values, 4).score(texts)
+    # Alphabets too large for numbers give the same.
+    monkeypatch.setattr(kn, "_fits", lambda base, order: False)
+    grams_2, counts_2 = kn.gram_counts(texts, 4)
+    assert dict(zip(grams_2, counts_2.tolist(), strict=True)) == apart
+    n_2, sums_2 = kn.Answers(grams, values, 4).score(texts)
+    known = dict(zip(grams, values, strict=True))
+    plain = [sum(known[s[i : i + 4]] for i in range(len(s) - 3)) for s in (padded(t, 4) for t in texts)]
+    assert n.tolist() == n_2.tolist() == [len(t) + 1 for t in texts] and sums.tolist() == sums_2.tolist() == plain
+
+
+def test_filter_passes_all_trusted(spark, documents, prose):
+    rows = [(i, "x", "en", "a") for i in range(-500, 500)] + [(None, "x", "en", "a")]
+    own = documents(rows).select("doc_id", "text", F.lit(0).alias("fold"))
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 3)], "doc_id long")
+    passed = {r["doc_id"] for r in kn._maybe_trusted(own, ids).collect()}
+    assert set(range(-500, 500, 3)) <= passed and len(passed) < 400
 
 
 def test_classifier(spark, documents, prose):
@@ -91,9 +111,10 @@ def test_classifier(spark, documents, prose):
     assert not found[2000]["kept"] and not found[2001]["kept"] and found[2002]["kept"]
     assert found[0]["threshold"] != found[399]["threshold"] and found[399]["threshold"] == found[2002]["threshold"]
     # Each is scored by the model of the other fold.
-    fold = {r[0]: r[1] for r in documents(rows).select("doc_id", kn.fold_of(F.col("doc_id"))).collect()}
+    fold = {r[0]: r[1] for r in documents(rows).select("doc_id", kn.fold_of(F.col("doc_id"), F.col("text"))).collect()}
     plain = [Plain([t for i, t, _, _ in rows if i < 400 and i % 2 == 0 and fold[i] != k], 4) for k in range(2)]
-    for i in (0, 1, 301, 1003, 2000):
+    assert found[2000]["perplexity"] is None and found[2001]["perplexity"] is None
+    for i in (0, 1, 301, 1003, 2002):
         assert found[i]["perplexity"] == pytest.approx(plain[fold[i]].perplexity(dict((r[0], r[1]) for r in rows)[i]), rel=1e-4)
 
 
@@ -104,7 +125,8 @@ def test_odd_rows(spark, documents, odd_rows):
 
 def test_nothing_trusted(spark, documents, odd_rows):
     found = kn.classify(documents(odd_rows), spark.createDataFrame([], "doc_id long")).collect()
-    assert len(found) == len(odd_rows) and all(r["perplexity"] == pytest.approx(64, rel=1e-5) for r in found)
+    assert len(found) == len(odd_rows) and all(r["perplexity"] == pytest.approx(1) if r["n_symbols"] else r["perplexity"] is None for r in found)
+    assert all(r["kept"] == (r["n_symbols"] > 0) for r in found)
     assert kn.classify(documents([]), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
