@@ -288,6 +288,6 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = known.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_trusted).select(F.col("lang").alias("l"), "own")
     overall = known.agg(at.alias("overall"))
-    judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(overall, how="cross")  # one row
+    judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(overall), how="cross")  # one row
     threshold = F.coalesce("own", "overall")
     return judged.select("doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"), ((F.col("n_symbols") > 0) & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("kept"))
