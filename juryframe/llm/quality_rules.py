@@ -127,11 +127,12 @@ def judge_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
+    key_col: str | None = None,
     cutoffs: dict[str, tuple[float, ...]] = CUTOFFS,
     alpha: float = ALPHA,
     delta: float = DELTA,
 ) -> DataFrame:
-    """One row a document: doc_id, the measures, base_failed, kept, the rules' scores and rejected_by.
+    """One row a document: doc_id, the measures, base_failed, kept, the rules' scores and rejected_by; ``key_col``, if given, is kept.
 
     ``labels`` has doc_id and quality (1: good). A null text has no words and fails the base rules. A null
     stratum is one of its own. Labels of no document, null labels and null ids are not used; a document labelled more
@@ -139,8 +140,9 @@ def judge_documents(
     there are no cutoffs and the base rules alone decide.
     """
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    key = [key_col] if key_col else []
     measured = cut(
-        docs.select(docs[id_col].alias("doc_id"), docs[stratum_col].alias("stratum"), docs[text_col].alias("__text"))
+        docs.select(*key, docs[id_col].alias("doc_id"), docs[stratum_col].alias("stratum"), docs[text_col].alias("__text"))
         .withColumns(measures(F.col("__text")))
         .drop("__text")
         .withColumns(_scores())
@@ -155,5 +157,5 @@ def judge_documents(
     return (
         judged.withColumn("rejected_by", F.when(F.col("cutoff").isNull(), F.array().cast("array<string>")).otherwise(beyond))
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *cutoffs, "rejected_by")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *cutoffs, "rejected_by", *key)
     )
