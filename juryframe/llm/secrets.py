@@ -1,7 +1,7 @@
 """Secret scans: known patterns, and the Shannon entropy of windows that slide over candidate strings.
 
 A candidate is a long run of the characters that keys are made of. It is of one of two character classes, hex digits or
-the base-64 alphabet, each with an entropy limit. A window moves along it; counts and the sum of c log c are updated for
+the base-64 alphabet, each with an entropy limit; a run of hex digits inside a candidate is judged as hex as well. A window moves along it; counts and the sum of c log c are updated for
 the character that enters and the one that leaves. Windows above the limit, joined where they overlap, are spans. Candidates
 on the allow-list, such as natural words, paths of words and UUIDs, give none.
 """
@@ -22,6 +22,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+HEX_RUN = re.compile(r"[0-9a-fA-F]{20,}")
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_ASSIGNED, WINDOW = 6, 20
 #: Class of a candidate, what it consists of, and the entropy in bits above which a window is a secret.
@@ -66,6 +67,16 @@ def high_windows(string: str, limit: float, window: int = WINDOW) -> list[tuple[
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def entropy_spans(text: str, allowed: re.Pattern) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
@@ -73,7 +84,11 @@ def entropy_spans(text: str, allowed: re.Pattern) -> list[Span]:
         if allowed.fullmatch(string):
             continue
         limit = next(limit for _, made_of, limit in CLASSES if made_of.fullmatch(string))
-        found += [(m.start() + a, "entropy", m.start() + b) for a, b in high_windows(string, limit)]
+        spans = high_windows(string, limit)
+        for run in HEX_RUN.finditer(string):
+            if run[0] != string and not allowed.fullmatch(run[0]):
+                spans += [(run.start() + a, run.start() + b) for a, b in high_windows(run[0], CLASSES[0][2])]
+        found += [(m.start() + a, "entropy", m.start() + b) for a, b in _joined(spans)]
     return found
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -91,3 +92,17 @@ def test_query(spark, sf_dir):
     found = op8_secret_scan(spark, sf_dir).collect()
     assert len(found) == len(texts)
     rows_match(found, texts)
+
+
+def test_hex_key_beside_other_characters():
+    rng = random.Random(1)
+    alone = beside = 0
+    for _ in range(200):
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(40))
+        own = {i for a, _, b in secrets.find_secrets(f" {key} ", ALLOW) for i in range(a - 1, b - 1)}
+        alone += bool(own)
+        for before in ("KEY=", "/", "sha-", "x_", "+"):
+            found = {i for a, _, b in secrets.find_secrets(f" {before}{key} ", ALLOW) for i in range(a - 1 - len(before), b - 1 - len(before))}
+            assert own <= found
+            beside += bool(found)
+    assert alone == 200 and beside == 1000
