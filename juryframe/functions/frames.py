@@ -63,7 +63,16 @@ def pooled_vector(frames: Column, width: int) -> Column:
     return F.transform(total, lambda x: x / F.greatest(F.size(frames), F.lit(1)))
 
 
-def offsets(df: DataFrame, key: str, length: str, group: list[str]) -> DataFrame:
-    """Where each row's values begin in the concatenation of its group, in order of ``key``."""
-    before = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
+def offsets(df: DataFrame, key: str, length: str, ranges: int = 1024) -> DataFrame:
+    """``df`` with offset: where each row's values begin in the concatenation of all rows in order of ``key``, an integer.
+
+    Rows are summed by ranges of the key first; only the sums of ranges are ordered globally, rows within their range.
+    """
+    span = df.agg(F.min(key).alias("__low"), (F.max(key) - F.min(key) + 1).alias("__span"))  # one row
+    ranged = df.join(F.broadcast(span), how="cross").withColumn("__range", F.floor((F.col(key) - F.col("__low")) / F.col("__span") * ranges))
+    sums = ranged.groupBy("__range").agg(F.sum(length).alias("__sum"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # at most ``ranges`` rows
+    within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("offset", F.coalesce(F.sum(length).over(within), F.lit(0)))
+    return placed.join(F.broadcast(starts), "__range").withColumn("offset", F.col("offset") + F.col("__start")).drop("__low", "__span", "__range", "__start")

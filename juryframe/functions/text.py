@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
-#: Code points that stand for tokens, outside of those that Spark may change.
-FIRST_CODE, MOST_CODES = 0x3000, 0xA000
+#: Code points above 0xFFFF, which stand for tokens.
+MOST_CODES = 0x100000
 POLICIES = ("score", "rover", "strict", "equal")
 
 
@@ -32,20 +32,30 @@ def join_tokens(words: Column) -> Column:
 
 
 def _coded(words: Column, vocabulary: Column) -> Column:
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + (FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, code), "")
+    # A code from 0x10000 on is a pair of 16-bit units.
+    def code(w: Column) -> Column:
+        n = F.array_position(vocabulary, w)
+        return F.concat(F.hex(F.shiftright(n, 10) + 0xD800), F.hex(F.pmod(n, F.lit(1024)) + 0xDC00))
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Least number of substituted, inserted and deleted tokens, inside the JVM.
+    """Least number of substituted, inserted and deleted tokens, inside the JVM; null for a null list.
 
-    Each different token of the two lists becomes a character, and the built-in distance counts characters. The time is the
-    product of the lengths. Lists with more than MOST_CODES different tokens are beyond it and give null; see
-    ``word_distance_udf``.
+    Each token that both lists hold becomes a character, all others of a list one more, and the built-in distance counts
+    characters. The time is the product of the lengths. More than MOST_CODES shared tokens raise an error, as there are
+    no more characters; ``word_distance_udf`` takes those.
     """
-    vocabulary = F.array_union(ref, hyp)
-    coded = F.transform(F.array(vocabulary), lambda v: F.levenshtein(_coded(ref, v), _coded(hyp, v)))[0]
-    return F.when(F.size(vocabulary) <= MOST_CODES, coded)
+    shared = F.array_intersect(ref, hyp)
+
+    def distance(v: Column) -> Column:
+        # Tokens that only one list holds have place 0; the first two places are kept free for the codes of both lists.
+        v = F.concat(F.array_repeat(F.lit(None).cast("string"), 2), v)
+        return F.levenshtein(_coded(ref, v), F.replace(_coded(hyp, v), F.lit("\U00010000"), F.lit("\U00010001")))
+
+    fits = F.size(shared) <= MOST_CODES - 2
+    return F.when(fits, F.transform(F.array(shared), distance)[0]).when(~fits, F.raise_error(F.lit("too many different tokens for word_distance")).cast("int"))
 
 
 @F.pandas_udf(IntegerType())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juryframe.schema import ALIASES, EXPERTS
+from juryframe.schema import ALIASES
 
 
 def assemble(tables: dict[str, DataFrame], key: str, *, truth_from: str = "whisper", truth: str = "ground_truth") -> DataFrame:
@@ -61,7 +61,3 @@ def expand_seeds(methods: DataFrame) -> DataFrame:
 def override(shared: dict, own: dict) -> dict:
     """Settings of a variant over those that all share."""
     return {**shared, **own}
-
-
-def expert_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(EXPERTS)), "expert_idx int, expert string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juryframe.functions.choice import argmax, argmin, at, oracle_label
@@ -89,10 +89,15 @@ def class_priors(train: DataFrame, experts: tuple[str, ...] = EXPERTS) -> DataFr
     return counts.select("total", F.explode(rows).alias("r")).select("r.expert", "r.n", F.try_divide(F.col("r.n").cast("double"), F.col("total")).alias("prior"))
 
 
-#: Used where no priors are computed, in expert order.
+#: Priors where none are computed, in expert order.
 FALLBACK_PRIORS = (0.323, 0.444, 0.233)
 
 
+def fallback_priors(spark: SparkSession) -> DataFrame:
+    """(expert, prior) for ``class_weights``."""
+    return spark.createDataFrame(list(zip(EXPERTS, FALLBACK_PRIORS, strict=True)), "expert string, prior double")
+
+
 def class_weights(priors: DataFrame) -> DataFrame:
     """(expert, weight): 1 / prior, 0 for a prior of 0, scaled to sum to the number of experts."""
     inverse = F.when(F.col("prior") > 0, 1 / F.col("prior")).otherwise(0.0)
@@ -100,19 +105,41 @@ def class_weights(priors: DataFrame) -> DataFrame:
     return priors.withColumn("raw", inverse).select("expert", (F.col("raw") / F.sum("raw").over(whole) * F.count(F.lit(1)).over(whole)).alias("weight"))
 
 
+def medians(long: DataFrame) -> DataFrame:
+    """(expert, median), exact, of (expert, wer).
+
+    Equal scores are counted where they lie. The one or two middle places of an expert are looked up among the counts by
+    ranges of scores, then within the ranges that hold them, so no task holds an expert's scores.
+    """
+    counts = long.filter("wer is not null").groupBy("expert", "wer").agg(F.count(F.lit(1)).alias("n"))
+    limits = counts.groupBy("expert").agg(F.min("wer").alias("least"), F.max("wer").alias("most"), F.sum("n").alias("total"))
+    width = F.col("most") - F.col("least")
+    ranged = counts.join(F.broadcast(limits), "expert").withColumn("range", F.when(width > 0, F.floor((F.col("wer") - F.col("least")) / width * MEDIAN_RANGES)).otherwise(F.lit(0)))
+    # At most MEDIAN_RANGES + 1 rows an expert.
+    sums = ranged.groupBy("expert", "range").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy("expert").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("expert", "range", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    places = F.array_distinct(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")))
+    wanted = limits.select("expert", F.explode(places).alias("place")).join(starts, "expert").filter("place > start and place <= start + m").select("expert", "range", "place", "start")
+    upto = Window.partitionBy("expert", "range").orderBy("wer")
+    inside = ranged.join(F.broadcast(wanted.select("expert", "range", "start").distinct()), ["expert", "range"]).withColumn("end", F.col("start") + F.sum("n").over(upto))
+    found = inside.join(F.broadcast(wanted.select("expert", "range", "place")), ["expert", "range"]).filter("place <= end and place > end - n")
+    return found.groupBy("expert").agg(F.avg("wer").alias("median"))
+
+
+#: Ranges into which ``medians`` divides an expert's scores.
+MEDIAN_RANGES = 1000
+
+
 def legacy_stats(scores: DataFrame) -> DataFrame:
     """(expert, mean, median, std, best_count); every expert that ties for the best is counted."""
-    best = F.array_min(score_array())
-    return (
-        by_expert(scores.withColumn("best", best), ["best"])
-        .groupBy("expert")
-        .agg(
-            rounded(F.avg("wer"), 6).alias("mean"),
-            rounded(F.percentile("wer", F.lit(0.5)), 6).alias("median"),
-            rounded(F.stddev_pop("wer"), 6).alias("std"),
-            F.count_if(F.col("wer") == F.col("best")).alias("best_count"),
-        )
+    long = by_expert(scores.withColumn("best", F.array_min(score_array())), ["best"])
+    rest = long.groupBy("expert").agg(
+        rounded(F.avg("wer"), 6).alias("mean"),
+        rounded(F.stddev_pop("wer"), 6).alias("std"),
+        F.count_if(F.col("wer") == F.col("best")).alias("best_count"),
     )
+    return rest.join(medians(long), "expert", "left").select("expert", "mean", rounded(F.col("median"), 6).alias("median"), "std", "best_count")
 
 
 def best_single(scores: DataFrame) -> DataFrame:
@@ -163,8 +190,18 @@ def confusion_matrix(routed: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def corpus_error_rate(clips: DataFrame) -> DataFrame:
-    """Sum of edits over sum of reference words by expert; an empty reference is one word that must be substituted."""
+def _corpus_sums() -> tuple[Column, Column]:
+    """(edits, reference words): an empty reference is one word that must be substituted."""
     n = F.when(F.col("n_ref") == 0, 1).otherwise(F.col("n_ref"))
-    e = F.when(F.col("n_ref") == 0, F.greatest(F.col("n_hyp"), F.lit(1))).otherwise(F.col("edits"))
-    return clips.groupBy("expert").agg(F.sum(e).cast("long").alias("edits"), F.sum(n).cast("long").alias("n_ref"), rounded(F.sum(e) / F.sum(n), 6).alias("wer_corpus"))
+    return F.sum(F.when(F.col("n_ref") == 0, F.greatest(F.col("n_hyp"), F.lit(1))).otherwise(F.col("edits"))), F.sum(n)
+
+
+def corpus_rate() -> Column:
+    edits, n = _corpus_sums()
+    return rounded(edits / n, 6)
+
+
+def corpus_error_rate(clips: DataFrame) -> DataFrame:
+    """Sum of edits over sum of reference words by expert."""
+    edits, n = _corpus_sums()
+    return clips.groupBy("expert").agg(edits.cast("long").alias("edits"), n.cast("long").alias("n_ref"), corpus_rate().alias("wer_corpus"))

@@ -1,9 +1,10 @@
 """Combination of hypotheses by a voted word network.
 
-Hypotheses are merged one after another, in expert order, into a list of slots that hold one token for each. A token
-agrees with a slot if it equals any of the slot's tokens. The least-cost alignment is followed from its end, preferring
-to pair, then to skip the slot, then to open a new one. A slot's winner is the token with the greatest weight, of
-equals the one met first; the gap can win, and is left out.
+A network is a table of token numbers: a row for each slot, a column for each hypothesis merged so far, and 0 where a
+hypothesis has no token in the slot. A hypothesis is merged by an alignment of least cost between slots and tokens; a
+token agrees with a slot that holds it in any column. Of equally good alignments, read from their ends, the one
+that pairs is preferred to the one that skips a slot, and that to the one that opens a slot. A slot's winner is the
+token of the greatest weight, of equals the one in the first column; the gap can win, and is left out.
 """
 
 from __future__ import annotations
@@ -16,81 +17,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = ""
+_PAIR, _SKIP, _OPEN = 0, 1, 2
 
 
-def _mismatches(network: list[list[str]], words: list[str]) -> np.ndarray:
-    """1 where a slot holds no token equal to the word, else 0."""
-    places: dict[str, list[int]] = {}
-    for j, word in enumerate(words):
-        places.setdefault(word, []).append(j)
-    out = np.ones((len(network), len(words)), dtype=np.int32)
-    for i, slot in enumerate(network):
-        for word in places.keys() & set(slot):
-            out[i, places[word]] = 0
+def _moves(agrees: np.ndarray) -> np.ndarray:
+    """The last move of the preferred alignment of every prefix of slots with every prefix of tokens.
+
+    ``agrees`` says for (slot, token) whether they agree.
+    """
+    n, m = agrees.shape
+    moves = np.full((n + 1, m + 1), _OPEN, np.int8)
+    moves[1:, 0] = _SKIP
+    along = np.arange(m + 1)
+    above = along.copy()
+    for i in range(1, n + 1):
+        pair, skip = above[:-1] + ~agrees[i - 1], above[1:] + 1
+        # Opening slots costs one a token, so a row is a running minimum once that is taken off.
+        best = np.minimum.accumulate(np.concatenate(([i], np.minimum(pair, skip))) - along) + along
+        moves[i, 1:] = np.where(best[1:] == pair, _PAIR, np.where(best[1:] == skip, _SKIP, _OPEN))
+        above = best
+    return moves
+
+
+def _steps(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, tokens) of the alignment, place by place; -1 where a side has none."""
+    at, slots, tokens = [moves.shape[0] - 1, moves.shape[1] - 1], [], []
+    while at != [0, 0]:
+        move = moves[at[0], at[1]]
+        at[0] -= move != _OPEN
+        at[1] -= move != _SKIP
+        slots.append(-1 if move == _OPEN else at[0])
+        tokens.append(-1 if move == _SKIP else at[1])
+    return np.array(slots[::-1], np.int64), np.array(tokens[::-1], np.int64)
+
+
+def merge(network: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The network with one column more for ``tokens``."""
+    agrees = np.zeros((len(network), len(tokens)), bool)
+    for column in network.T:
+        agrees |= column[:, None] == tokens
+    slots, places = _steps(_moves(agrees))
+    out = np.zeros((len(slots), network.shape[1] + 1), np.int64)
+    out[slots >= 0, :-1] = network[slots[slots >= 0]]
+    out[places >= 0, -1] = tokens[places[places >= 0]]
     return out
 
 
-def _costs(mismatches: np.ndarray) -> np.ndarray:
-    """Alignment costs of every prefix of the network with every prefix of the words."""
-    n, m = mismatches.shape
-    steps = np.arange(m + 1, dtype=np.int32)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[0] = steps
-    for i in range(1, n + 1):
-        row = cost[i]
-        row[0] = i
-        np.minimum(cost[i - 1, :-1] + mismatches[i - 1], cost[i - 1, 1:] + 1, out=row[1:])
-        # A row's insertions are a running minimum once the cost of moving along is taken off.
-        row -= steps
-        np.minimum.accumulate(row, out=row)
-        row += steps
-    return cost
-
-
-def merge(network: list[list[str]], words: list[str], width: int | None = None) -> list[list[str]]:
-    """The network with one more hypothesis. ``width`` is the number of tokens a slot has so far; None takes the first slot's."""
-    if width is None:
-        width = len(network[0]) if network else 0
-    mismatches = _mismatches(network, words)
-    cost, differs, out = _costs(mismatches).tolist(), mismatches.tolist(), []
-    i, j = len(network), len(words)
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + differs[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            out.append([*network[i], words[j]])
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            out.append([*network[i], GAP])
-        else:
-            j -= 1
-            out.append([GAP] * width + [words[j]])
-    return out[::-1]
-
-
-def build(hypotheses: Sequence[list[str]], compat: bool = True) -> list[list[str]]:
-    """The network of all hypotheses. With ``compat`` an empty first hypothesis leaves later slots a token short, as if
-    it had not been there; without, every slot has a token for each hypothesis."""
-    network = [[w] for w in hypotheses[0]] if hypotheses else []
-    for k, words in enumerate(hypotheses[1:], 1):
-        network = merge(network, words, None if compat else k)
+def build(hypotheses: Sequence[np.ndarray], compat: bool = True) -> np.ndarray:
+    """The network of all hypotheses, given as token numbers from 1.
+
+    With ``compat`` a hypothesis that meets an empty network starts it anew, so that leading empty hypotheses have no
+    column; without, there is a column for each hypothesis.
+    """
+    network = np.zeros((0, 0), np.int64)
+    for k, tokens in enumerate(hypotheses):
+        if not len(network):
+            network = np.zeros((0, 0 if compat and k else k), np.int64)
+        network = merge(network, tokens)
     return network
 
 
-def vote(network: list[list[str]], weights: Sequence[float]) -> list[str]:
-    out = []
-    for slot in network:
-        sums: dict[str, float] = {}
-        for word, weight in zip(slot, weights, strict=False):
-            sums[word] = sums.get(word, 0.0) + float(weight)
-        winner = max(sums, key=sums.__getitem__)
-        if winner != GAP:
-            out.append(winner)
-    return out
+def vote(network: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """The winning token numbers, without gaps."""
+    if not network.size:
+        return np.zeros(0, np.int64)
+    sums = np.zeros(network.shape)
+    for column, weight in zip(network.T, weights, strict=False):
+        sums += (network == column[:, None]) * float(weight)
+    won = np.take_along_axis(network, sums.argmax(axis=1)[:, None], axis=1).ravel()
+    return won[won > 0]
 
 
 def combine(hypotheses: Sequence[str | None], weights: Sequence[float], compat: bool = True) -> str:
     """The voted text; a null hypothesis is the word None, as where texts are made from a column with nulls."""
-    return " ".join(vote(build([("None" if h is None else h).split() for h in hypotheses], compat), weights))
+    numbers: dict[str, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in ("None" if h is None else h).split()], np.int64) for h in hypotheses]
+    words = [GAP, *numbers]
+    return " ".join(words[i] for i in vote(build(coded, compat), weights).tolist())
 
 
 def combined(hypotheses: Column, weights: Column, compat: bool = True) -> Column:
@@ -98,7 +101,7 @@ def combined(hypotheses: Column, weights: Column, compat: bool = True) -> Column
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, shares: pd.Series) -> pd.Series:
-        return pd.Series([combine(list(t), list(w), compat) for t, w in zip(texts, shares, strict=True)])
+        return pd.Series([combine(list(t), list(w), compat) for t, w in zip(texts, shares, strict=True)], dtype=object)
 
     return run(hypotheses, weights)
 

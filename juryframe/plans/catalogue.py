@@ -43,8 +43,8 @@ SCORES = """scores AS (
   SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS clip_id,
          min(l_discount * 10) AS hubert_wer, min(l_tax * 10) AS whisper_wer, min(l_quantity / 50) AS w2v2_wer
   FROM lineitem GROUP BY 1)"""
-LABEL = """CASE WHEN hubert_wer <= whisper_wer AND hubert_wer <= w2v2_wer THEN 0
-               WHEN whisper_wer <= hubert_wer AND whisper_wer <= w2v2_wer THEN 1 ELSE 2 END"""
+#: The place of the least score, which is the first of equals; no score is null here.
+LABEL = "CAST(list_position([hubert_wer, whisper_wer, w2v2_wer], least(hubert_wer, whisper_wer, w2v2_wer)) - 1 AS INTEGER)"
 LABELLED = f"""{SCORES},
 labelled AS (SELECT *, {LABEL} AS label, least(hubert_wer, whisper_wer, w2v2_wer) AS best FROM scores)"""
 SPLIT = f"""{LABELLED},
@@ -67,16 +67,23 @@ probs AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (
           t0 / (t0 + t1 + t2) AS q0, t1 / (t0 + t1 + t2) AS q1, t2 / (t0 + t1 + t2) AS q2 FROM powers),
 chosen AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS choice FROM probs),
 routed AS (SELECT *, CASE choice WHEN 0 THEN hubert_wer WHEN 1 THEN whisper_wer ELSE w2v2_wer END AS selected FROM chosen)"""
-CLIP_TEXT = """clip_text AS (SELECT conv_id * 1000 + turn AS clip_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '')[1:40] AS ref FROM conversations)"""
+CLIP_TEXT = """clip_text AS (SELECT conv_id * 1000 + turn AS clip_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS ref FROM conversations)"""
+#: The distance is walked along the antidiagonals of the table of prefixes, as DuckDB's own counts bytes; needs WITH RECURSIVE.
 HYPOTHESES = f"""{CLIP_TEXT},
 hyps AS (
   SELECT clip_id, ref, 'hubert' AS expert, list_filter(ref, lambda x, i: i % 5 <> 0) AS hyp FROM clip_text
   UNION ALL SELECT clip_id, ref, 'whisper', flatten(list_transform(ref, lambda x, i: CASE WHEN i % 7 = 0 THEN [x, x] ELSE [x] END)) FROM clip_text
   UNION ALL SELECT clip_id, ref, 'w2v2', list_transform(ref, lambda x, i: CASE WHEN i % 4 = 0 THEN reverse(x) ELSE x END) FROM clip_text),
-coded AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS v FROM hyps),
-edits AS (SELECT clip_id, expert, len(ref) AS n_ref, len(hyp) AS n_hyp,
-          levenshtein(coalesce(array_to_string(list_transform(ref, lambda x: chr(CAST(list_position(v, x) AS INTEGER))), ''), ''),
-                      coalesce(array_to_string(list_transform(hyp, lambda x: chr(CAST(list_position(v, x) AS INTEGER))), ''), '')) AS edits FROM coded)"""
+known AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS v FROM hyps),
+coded AS (SELECT clip_id, expert, list_transform(ref, lambda x: list_position(v, x)) AS a, list_transform(hyp, lambda x: list_position(v, x)) AS b FROM known),
+walk(clip_id, expert, a, b, k, low, older, newer) AS (
+  SELECT clip_id, expert, a, b, 0, 0, CAST([] AS BIGINT[]), CAST([0] AS BIGINT[]) FROM coded
+  UNION ALL
+  SELECT clip_id, expert, a, b, k + 1, greatest(0, k + 1 - len(b)), newer,
+         list_transform(range(greatest(0, k + 1 - len(b)), least(k + 1, len(a)) + 1), lambda i: CASE WHEN i = 0 OR i = k + 1 THEN k + 1
+           ELSE least(newer[i - low + 1] + 1, newer[i - low] + 1, older[i - greatest(0, k - 1 - len(b))] + CASE WHEN a[i] = b[k + 1 - i] THEN 0 ELSE 1 END) END)
+  FROM walk WHERE k < len(a) + len(b)),
+edits AS (SELECT clip_id, expert, len(a) AS n_ref, len(b) AS n_hyp, newer[1] AS edits FROM walk WHERE k = len(a) + len(b))"""
 STEPS = """steps AS (SELECT user_id % 3 AS run, event_type AS tag, value,
           row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts, event_id) AS step FROM events)"""
 FRAMES = """frames AS (SELECT CAST(label AS BIGINT) AS clip_id, vec_id, embedding,
@@ -296,25 +303,29 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "expert", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"), text.word_distance(F.col("ref"), F.col("hyp")).alias("edits"))
 
 
-@query(f"""WITH {HYPOTHESES} SELECT clip_id, expert, CAST(n_ref AS INTEGER) AS n_ref, CAST(edits AS INTEGER) AS edits,
+@query(f"""WITH RECURSIVE {HYPOTHESES} SELECT clip_id, expert, CAST(n_ref AS INTEGER) AS n_ref, CAST(edits AS INTEGER) AS edits,
 {r("CASE WHEN n_ref = 0 THEN 0.0 ELSE edits / CAST(n_ref AS DOUBLE) END")} AS wer FROM edits""")
 def word_error_per_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = text.word_error_rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))
     return _edited(spark, sf_dir).select("clip_id", "expert", "n_ref", "edits", rounded(rate, 6).alias("wer"))
 
 
-@query(f"""WITH {HYPOTHESES} SELECT expert, CAST(sum(CASE WHEN n_ref = 0 THEN greatest(n_hyp, 1) ELSE edits END) AS BIGINT) AS edits,
+@query(f"""WITH RECURSIVE {HYPOTHESES} SELECT expert, CAST(sum(CASE WHEN n_ref = 0 THEN greatest(n_hyp, 1) ELSE edits END) AS BIGINT) AS edits,
 CAST(sum(CASE WHEN n_ref = 0 THEN 1 ELSE n_ref END) AS BIGINT) AS n_ref,
 {r("CAST(sum(CASE WHEN n_ref = 0 THEN greatest(n_hyp, 1) ELSE edits END) AS DOUBLE) / sum(CASE WHEN n_ref = 0 THEN 1 ELSE n_ref END)")} AS wer_corpus FROM edits GROUP BY expert""")
 def corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.corpus_error_rate(_edited(spark, sf_dir))
 
 
-@query(f"""SELECT item_id, {r("levenshtein(text, replace(text, 'e', '')) / CAST(length(text) AS DOUBLE)")} AS cer FROM benchmark WHERE regexp_full_match(text, '[\\x20-\\x7E\\n]+')""")
+#: DuckDB's distance counts bytes, so each different character of a text becomes one in ASCII.
+CHARS = "array_to_string(list_transform(string_split({}, ''), lambda x: chr(CAST(list_position(v, x) AS INTEGER))), '')"
+
+
+@query(f"""WITH pairs AS (SELECT item_id, text AS ref, replace(text, 'e', '') AS hyp, list_distinct(string_split(text, '')) AS v FROM benchmark)
+SELECT item_id, {r(f"CASE WHEN length(ref) = 0 OR length(hyp) = 0 THEN CASE WHEN ref = hyp THEN 0.0::DOUBLE ELSE 1.0 END ELSE levenshtein({CHARS.format('ref')}, {CHARS.format('hyp')}) / CAST(length(ref) AS DOUBLE) END")} AS cer FROM pairs""")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The twin's distance counts bytes, so both look at texts in ASCII.
-    ascii_only = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x20-\x7E\n]+$"))
-    return ascii_only.select("item_id", rounded(text.char_error_rate(F.col("text"), F.replace("text", F.lit("e"), F.lit(""))), 6).alias("cer"))
+    rate = text.char_error_rate(F.col("text"), F.replace("text", F.lit("e"), F.lit("")))
+    return table(spark, sf_dir, "benchmark").select("item_id", rounded(rate, 6).alias("cer"))
 
 
 @query("""SELECT DISTINCT p_brand AS name, replace(p_brand, '/', '_') AS file_name, substr(md5(p_brand), 1, 8) AS digest,
@@ -462,28 +473,30 @@ def truncate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES} SELECT clip_id, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY clip_id")
 def frame_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.frames(spark, sf_dir).select("clip_id", frames.n_frames(F.col("frames")).alias("n"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("clip_id"), F.array("embedding").alias("frames"))
+    return rows.groupBy("clip_id").agg(F.sum(frames.n_frames(F.col("frames"))).cast("int").alias("n"))
 
 
 @query(f"""WITH {FRAMES}, sized AS (SELECT clip_id, count(*) AS n FROM frames GROUP BY clip_id)
 SELECT clip_id, CAST(coalesce(sum(n) OVER (ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sized""")
 def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = adapters.frames(spark, sf_dir).select("clip_id", F.size("frames").cast("long").alias("n"))
-    return frames.offsets(sized, "clip_id", "n", []).select("clip_id", "offset")
+    sized = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("clip_id")).agg(F.count(F.lit(1)).alias("n"))
+    return frames.offsets(sized, "clip_id", "n").select("clip_id", "offset")
 
 
 @query(f"""WITH {FRAMES}, longest AS (SELECT max(n) AS m FROM frames), clips AS (SELECT DISTINCT clip_id, n FROM frames)
 SELECT clip_id, CAST(m AS INTEGER) AS padded, CAST(m - n AS INTEGER) AS zeros, CAST(n AS INTEGER) AS masked FROM clips, longest""")
 def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = adapters.frames(spark, sf_dir)
-    longest = F.max(F.size("frames")).over(Window.partitionBy())  # one row a clip
-    padded = clips.withColumn("m", longest).select("clip_id", frames.pad(F.col("frames"), F.col("m"), 64).alias("p"), frames.mask(F.col("frames"), F.col("m")).alias("k"))
+    longest = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count").cast("int").alias("m"))  # one row
+    padded = clips.join(F.broadcast(longest), how="cross").select("clip_id", frames.pad(F.col("frames"), F.col("m"), 64).alias("p"), frames.mask(F.col("frames"), F.col("m")).alias("k"))
     return padded.select("clip_id", F.size("p").alias("padded"), F.size(F.filter("p", lambda f: F.forall(f, lambda x: x == 0))).alias("zeros"), F.size(F.filter("k", lambda b: b)).alias("masked"))
 
 
 @query(f"""WITH {FRAMES} SELECT clip_id, CAST(d AS INTEGER) AS d, {r("avg(CAST(x AS DOUBLE))", 5)} AS mean FROM (SELECT clip_id, unnest(embedding) AS x, unnest(range(0, 64)) AS d FROM frames) GROUP BY clip_id, d""")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.mean_pool(adapters.frames(spark, sf_dir), "clip_id", "frames").select("clip_id", "d", rounded(F.col("mean"), 5).alias("mean"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("clip_id"), F.array("embedding").alias("frames"))
+    return frames.mean_pool(rows, "clip_id", "frames").select("clip_id", "d", rounded(F.col("mean"), 5).alias("mean"))
 
 
 @query(f"WITH {FRAMES} SELECT clip_id, CAST(count(*) FILTER (WHERE t < 10 + clip_id) AS INTEGER) AS first, CAST(count(*) FILTER (WHERE t >= 10 + clip_id) AS INTEGER) AS second FROM frames GROUP BY clip_id")
@@ -506,36 +519,59 @@ def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Beyond SQL -----------------------------------------------------------------------------------------------------------
-def _voted(spark: SparkSession, sf_dir: str, weights) -> DataFrame:
-    clips = adapters.hypotheses(spark, sf_dir)
+def _split_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split(adapters.hypotheses(spark, sf_dir), "clip_id")
+
+
+def _expert_weights(clips: DataFrame) -> DataFrame:
+    """One row: weights from the experts' mean error rates over the clips of the train split."""
+    rate = lambda e: text.word_error_rate(text.word_distance(F.col("ref"), F.col(e)), F.size("ref"), F.size(e))
+    return stats.prior_weights(clips.filter("split = 'train'").select(*[rate(e).alias(f"{e}_wer") for e in EXPERTS]))
+
+
+def _voted(clips: DataFrame, weights) -> DataFrame:
     texts = F.array(*[F.array_join(e, " ") for e in EXPERTS])
-    return voting.evaluate(clips, texts, weights).select("clip_id", "voted", "n_ref", "edits", "wer")
+    return voting.evaluate(clips, texts, weights).select("clip_id", "split", "voted", "n_ref", "n_hyp", "edits", "wer")
+
+
+def _equal(clips: DataFrame) -> DataFrame:
+    return _voted(clips, F.array(*[F.lit(1 / len(EXPERTS)) for _ in EXPERTS]))
+
+
+def _weighted(clips: DataFrame) -> DataFrame:
+    return _voted(clips.join(F.broadcast(_expert_weights(clips)), how="cross"), F.col("weights"))
 
 
 @query()
 def rover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses combined with equal weights, and the error rate of each clip."""
-    return _voted(spark, sf_dir, F.array(*[F.lit(1 / len(EXPERTS)) for _ in EXPERTS]))
+    return _equal(_split_hypotheses(spark, sf_dir))
 
 
 @query()
 def weighted_rover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hypotheses combined with weights from the experts' mean error rates."""
-    rates = F.map_from_entries(F.collect_list(F.struct("expert", "rate")))
-    rate = text.word_error_rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))
-    means = _edited(spark, sf_dir).groupBy("expert").agg(F.greatest(1 - F.avg(rate), F.lit(1e-6)).alias("rate"))
-    raw = means.agg(rates.alias("m")).select(F.array(*[F.col("m")[e] for e in EXPERTS]).alias("raw"))
-    weights = raw.select(F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)).alias("weights"))  # one row
-    clips = adapters.hypotheses(spark, sf_dir).join(F.broadcast(weights), how="cross")
-    texts = F.array(*[F.array_join(e, " ") for e in EXPERTS])
-    return voting.evaluate(clips, texts, F.col("weights")).select("clip_id", "voted", "n_ref", "edits", "wer")
+    """Hypotheses combined with weights from the train split, and the error rate of each clip."""
+    return _weighted(_split_hypotheses(spark, sf_dir))
 
 
 @query()
 def rover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, standard error and corpus rate of the combined hypotheses."""
-    voted = rover(spark, sf_dir)
-    return voted.agg(*stats.summary("wer"), rounded(F.sum("edits") / F.sum("n_ref"), 6).alias("wer_corpus"))
+    """Mean, standard error and corpus rate of the combined hypotheses by split and method."""
+    clips = _split_hypotheses(spark, sf_dir)
+    both = _equal(clips).withColumn("method", F.lit("rover")).unionByName(_weighted(clips).withColumn("method", F.lit("weighted_rover")))
+    return both.groupBy("split", "method").agg(*stats.summary("wer"), stats.corpus_rate().alias("wer_corpus"))
+
+
+@query(f"""WITH RECURSIVE {HYPOTHESES},
+ranked AS (SELECT clip_id, row_number() OVER (ORDER BY md5(concat('42:', clip_id)), clip_id) AS rn, count(*) OVER () AS n_total FROM clip_text),
+means AS (SELECT expert, greatest(1 - avg(CASE WHEN n_ref = 0 THEN 0.0 ELSE edits / CAST(n_ref AS DOUBLE) END), 1e-6) AS raw
+          FROM edits JOIN ranked USING (clip_id) WHERE rn <= floor(n_total * CAST(0.8 AS DOUBLE)) GROUP BY expert)
+SELECT expert, {r("raw / sum(raw) OVER ()")} AS weight FROM means""")
+def rover_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of weighted_rover."""
+    names = F.array(*[F.lit(e) for e in EXPERTS])
+    weights = _expert_weights(_split_hypotheses(spark, sf_dir)).select(F.posexplode("weights").alias("i", "w"))
+    return weights.select(F.get(names, F.col("i")).alias("expert"), rounded(F.col("w"), 6).alias("weight"))
 
 
 @query()

@@ -9,8 +9,6 @@ from juryframe.functions.choice import softmax
 from juryframe.operators.split import split
 from juryframe.schema import EXPERTS
 
-LONGEST = 40
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,9 +35,9 @@ def probs(spark: SparkSession, sf_dir: str, temperature: float = 0.5) -> DataFra
 
 
 def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clip_id, ref): the first tokens of each turn of conversations."""
+    """(clip_id, ref): the tokens of each turn of conversations."""
     words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
-    return table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("clip_id"), F.slice(words, 1, LONGEST).alias("ref"))
+    return table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("clip_id"), words.alias("ref"))
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
