@@ -19,8 +19,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Parts whose ids a worker keeps; beyond, it starts anew.
-KEPT_PARTS = 400_000
+#: Bytes of parts and ids that a worker keeps; beyond, it starts anew. With Python's own share some three times as much.
+KEPT_BYTES = 24_000_000
+#: A part, its ids and their place in the table weigh so much at least.
+PART_BYTES = 180
+#: Parts over so many characters are encoded each time and not kept.
+LONGEST_PART = 1_000
+#: The rank encoder's pattern recurses once for each character of white space, and its stack ends at some 700,000; the
+#: tokenizer's own does not.
+_LONG_SPACE = re.compile(r"\s{10000}")
 #: White space before and after a space (or the end): the pre-tokenizer may join them, so the text is encoded whole.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 _ENCODERS: dict[tuple[str, str], Callable[[str], bytes]] = {}
@@ -50,10 +57,11 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.parts: dict[str, bytes] = {}
+        self.kept = 0
 
     def _encode(self, text: str) -> bytes:
         # A special token's own string is a token for the tokenizer and ordinary text for the ranks.
-        if self.ranks is None or "<|" in text:
+        if self.ranks is None or "<|" in text or _LONG_SPACE.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)
@@ -62,18 +70,24 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if _JOINED.search(text):
             return self._encode(text)
-        parts = self.parts
         first, *rest = text.split(" ")
         keys = [first, *[" " + x for x in rest]]
         try:
-            return b"".join([parts[k] for k in keys])
+            return b"".join([self.parts[k] for k in keys])
         except KeyError:
-            if len(parts) > KEPT_PARTS:
-                parts.clear()
-            for k in keys:
-                if k not in parts:
-                    parts[k] = self._encode(k)
-            return b"".join([parts[k] for k in keys])
+            return b"".join([self._part(k) for k in keys])
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self._encode(part)
+            if len(part) <= LONGEST_PART:
+                if self.kept > KEPT_BYTES:
+                    self.parts.clear()
+                    self.kept = 0
+                self.parts[part] = found
+                self.kept += PART_BYTES + len(part) + len(found)
+        return found
 
 
 def encoder(json_name: str, ranks_name: str | None) -> Encoder:
@@ -95,7 +109,7 @@ def binary_pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
         start += length
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, bucket_place long"
 
 
 def pack_documents(
@@ -112,9 +126,14 @@ def pack_documents(
     """One row a piece: where it lies in its document and which sequence it is; with ``with_ids`` also the ids.
 
     ``longest`` is a power of two. Each document ends with ``end_id``; null and empty texts have that id alone.
-    Sequences are numbered by partition and place in it, so no number is given twice; rows that repeat, null ids
-    included, are documents of their own. ``bucket`` is the binary logarithm of the sequence's length. No row moves
-    between tasks and a task holds one batch of texts.
+    Sequences are numbered by partition and place in it, so no number is given twice; numbers depend on how the table is
+    dealt to tasks. Rows that repeat, null ids included, are documents of their own; an empty table gives no piece. Ids are
+    cast to long, and a text that is no number raises. A text of any length is encoded whole, so a task needs some ten
+    times its longest text. Other columns are not read, whatever their names.
+
+    ``bucket`` is the binary logarithm of the sequence's length; ``bucket_place`` numbers the sequences of a bucket within
+    a task's part of the table, so a batch of equal lengths is a range of (bucket, task, bucket_place) and
+    ``write.partitionBy("bucket")`` lays the buckets out as folders without moving a row.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -123,21 +142,23 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_name, ranks_name)
-        number = TaskContext.get().partitionId() << 33
+        number, places = TaskContext.get().partitionId() << 33, [0] * (longest.bit_length())
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8 + with_ids)]
+            cols: list[list] = [[] for _ in range(9 + with_ids)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 for start, length in binary_pieces(total, longest):
                     piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(piece), total, number, 0, length.bit_length() - 1)
+                    bucket = length.bit_length() - 1
+                    row = (doc, start, length, zlib.crc32(piece), total, number, 0, bucket, places[bucket])
                     number += 1
+                    places[bucket] += 1
                     for c, v in zip(cols, row, strict=False):
                         c.append(v)
                     if with_ids:
-                        cols[8].append(np.frombuffer(piece, "<u4").astype(np.int32))
-            types = [pa.int64()] * 7 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
+                        cols[9].append(np.frombuffer(piece, "<u4").astype(np.int32))
+            types = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, schema)

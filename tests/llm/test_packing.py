@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from juryframe.llm import packing
 from juryframe.llm.packing import Encoder, binary_pieces, pack_documents, vocabulary
 from juryframe.llm.queries import op2_packing
 
@@ -68,6 +69,27 @@ def test_odd_rows(documents, odd_rows, tokenizer):
     assert all(twice.count(x) == 2 for x in twice)
 
 
+def test_long_white_space(documents, tokenizer):
+    texts = {1: " \n" * 500_000, 2: "a" + " " * 1_200_000 + "b", 3: "x" + "\u3000\t" * 600_000, 4: "a " * 1000}
+    check(pack_documents(documents([(i, t, "en", "a") for i, t in texts.items()])).collect(), texts, tokenizer)
+
+
+def test_kept_parts_are_bounded_by_bytes(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 2_000)
+    encode = Encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for i in range(50):
+        text = f"some {i} word{i} " + "y" * 1_500
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, encode.parts)) <= 2_000 and encode.kept <= 4_000
+
+
+def test_buckets(documents, odd_rows):
+    places = defaultdict(list)
+    for r in pack_documents(documents(odd_rows).coalesce(1)).collect():
+        places[r["bucket"]].append(r["bucket_place"])
+    assert all(sorted(p) == [*range(len(p))] for p in places.values())
+
+
 def test_real_ids(documents):
     rows = pack_documents(documents([(1, "one two three", "en", "a")]), with_ids=True).collect()
     assert [x for r in rows for x in r["ids"]][-1] == 1 and all(len(r["ids"]) == r["length"] for r in rows)

@@ -37,15 +37,15 @@ def test_trie_against_brute_force(scores, prose):
     trie = token_counts.PrefixTrie(scores, -30.0)
     words = {*prose(400, 1).split(), "漢字", "😀x", "é", "Straße!", "a" * 50, "the", "then", "there"}
     for w in words:
-        assert trie.insert(w) == brute_force(w, scores, -30.0)
+        assert trie.count(w.encode()) == brute_force(w, scores, -30.0)
     nodes = len(trie.best)
-    assert trie.insert("then") == trie.terminal["then"] and len(trie.best) == nodes  # nothing is computed twice
+    assert trie.count(b"then") == trie.terminal[b"then"] and len(trie.best) == nodes  # nothing is computed twice
 
 
 def test_restart_changes_nothing(scores, prose, monkeypatch):
     monkeypatch.setattr(token_counts, "MOST_NODES", 50)
     trie = token_counts.PrefixTrie(scores, -30.0)
-    assert [trie.insert(w) for w in prose(60, 2).split()] == [brute_force(w, scores, -30.0) for w in prose(60, 2).split()]
+    assert [trie.count(w.encode()) for w in prose(60, 2).split()] == [brute_force(w, scores, -30.0) for w in prose(60, 2).split()]
 
 
 def test_odd_rows(documents, odd_rows, scores):
@@ -55,6 +55,20 @@ def test_odd_rows(documents, odd_rows, scores):
     assert [r["n_pretokens"] for r in found if r["doc_id"] == 5] == [60_000]
 
 
+def test_long_pretokens_need_constant_memory(scores, documents, monkeypatch):
+    trie = token_counts.PrefixTrie(scores, -30.0)
+    for word in ("then" * 70, "漢" * 300, "ab" * 200 + "é"):
+        assert trie.count(word.encode()) == brute_force(word, scores, -30.0) and len(trie.best) == 1
+    import tracemalloc
+
+    word = ("QUJDREVGR0hJSktM" * 20_000).encode()
+    tracemalloc.start()
+    n = trie.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(word) + 1_000_000 and not trie.terminal
+    tracemalloc.stop()
+    assert [tuple(r) for r in token_counts.count_tokens(documents([(1, word.decode(), "en", "a")])).collect()] == [(1, 1, n)]
+
+
 def test_empty(documents):
     assert token_counts.count_tokens(documents([])).count() == 0
 
