@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +17,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in a local test, a temporary
-    folder takes its place.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place if driver and
+    executors are one process, as in a local test; on a cluster each machine would have its own, so that is an error.
     """
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="juryframe-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            known = tempfile.mkdtemp(prefix="juryframe-")
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir()
     return known
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, where lost executors cannot take it along."""
+    """``df`` computed once and kept in the shared folder, where lost executors cannot take it along.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it when nothing refers to it any more.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juryframe.llm.common import cut, word_count
+from juryframe.llm.common import cut, unused, word_count
 
-#: Parts into which the documents of one cell are dealt, so that a cell with a third of all rows is no single task.
-SALTS = 32
-ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+#: A cell of more documents than this, and than this share of all, is dealt by hash into parts of about so many, each of
+#: which is ordered for itself. At most 1 / LARGE_SHARE cells can be that large.
+LARGE_CELL, LARGE_SHARE = 1024, 1e-4
+NAMES = ("size", "source_size", "target", "rate", "copies")
 
 
 def _source_key(source: Column) -> Column:
@@ -126,41 +127,52 @@ def mix_documents(
     cap: int = 2,
     tol: float = 1e-6,
     max_iter: int = 100,
+    prefix: str = "mix_",
 ) -> DataFrame:
     """``docs`` with the number of copies that the mix takes of each row.
 
-    Adds mix_size (words of the text; null: 0), mix_source_size, mix_target (words its source should give),
-    mix_rate (copies wanted, 0 to ``cap``) and mix_copies (whole copies, at most ``cap``); columns of these names
-    are replaced. A null source is a source of its own, after all others. Sources without words have target 0, and
-    their documents one copy. Rows that repeat are rows of their own. An empty table stays empty. The outcome
-    depends on ids and sizes alone, not on how rows are dealt to tasks.
+    Adds, each after ``prefix``, size (words of the text; null: 0), source_size, target (words its source should give),
+    rate (copies wanted, 0 to ``cap``) and copies (whole copies, at most ``cap``); columns of these names are replaced,
+    all others kept, whatever their names. A null source is a source of its own, after all others. Sources without words
+    have target 0, and their documents one copy. Rows that repeat are rows of their own. An empty table stays empty. The
+    outcome depends on ids, texts and sources alone, not on how rows are dealt to tasks. Rows of a cell are dealt by the
+    hash of id and text; only rows with the same id, or none, and the same text stay together.
     """
-    own = docs.drop(*ADDED)
-    keyed = own.withColumns({"mix_size": word_count(F.col(text_col)), "__src": _source_key(F.col(source_col)), "__hash": F.xxhash64(F.col(id_col))}).withColumn("__salt", F.pmod(F.col("__hash"), F.lit(SALTS)).cast("int"))
-    salted = cut(keyed.groupBy(F.col("__src").alias("src"), F.col("mix_size").alias("z"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("m")))
-    cells = cut(salted.groupBy("src", "z").agg(F.sum("m").alias("n")))
+    added = [prefix + n for n in NAMES]
+    size, source_size, target, rate_name, copies_name = added
+    own = docs.drop(*added)
+    src, hashed, salt, before, n, taken, parts_of = unused([*own.columns, *added], "__src", "__hash", "__salt", "__before", "__n", "__copies", "__parts")
+    keyed = own.withColumns({size: word_count(F.col(text_col)), src: _source_key(F.col(source_col)), hashed: F.xxhash64(F.col(id_col), F.col(text_col))})
+    thin = cut(keyed.select(F.col(src).alias("src"), F.col(size).alias("z"), F.col(hashed).alias("h")))
+    cells = cut(thin.groupBy("src", "z").agg(F.count(F.lit(1)).alias("n")))
+    most = F.broadcast(cells.agg(F.greatest(F.lit(LARGE_CELL), F.ceil(F.sum("n") * F.lit(LARGE_SHARE))).alias("most")))  # one row
+    # At most 1 / LARGE_SHARE rows.
+    large = F.broadcast(cut(cells.join(most, how="cross").filter("n > most").select("src", "z", F.ceil(F.col("n") / F.col("most")).alias("parts"))))
+    part = lambda h, parts: F.pmod(h, F.coalesce(parts, F.lit(1)))
+    salted = cut(thin.join(large, ["src", "z"], "left").groupBy("src", "z", part(F.col("h"), F.col("parts")).alias("salt")).agg(F.count(F.lit(1)).alias("m")))
     targets = source_targets(cells.groupBy("src").agg(F.sum(F.col("z") * F.col("n")).alias("total")), weights, share, cap)
     state = _solve(cells, targets, cap, tol, max_iter)
     # A multiplier is cut to nine digits, so that the order of summation cannot show in the copies.
     rate = F.least(F.exp(F.round("lam", 9) * F.col("z") / F.col("scale")), F.lit(float(cap)))
     rated = cells.join(state, "src").select("src", "z", "n", F.lit(cap).alias("most"), rate.alias("rate"))
     copies = rated.groupBy("src").applyInPandas(_round_cells, "src string, z long, n long, rate double, copies long")
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("src", "z").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(F.sum("m").over(Window.partitionBy("src", "z").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = (
-        salted.withColumn("before", before)
+        salted.withColumn("ahead", ahead)
         .join(copies, ["src", "z"])
-        .join(state.select("src", F.col("total").alias("mix_source_size"), F.col("target").alias("mix_target")), "src")
-        .select(F.col("src").alias("__src"), F.col("z").alias("mix_size"), F.col("salt").alias("__salt"), F.col("before").alias("__before"), F.col("n").alias("__n"), F.col("copies").alias("__copies"), F.col("rate").alias("mix_rate"), "mix_source_size", "mix_target")
-    )
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__src", "mix_size", "__salt").orderBy("__hash", F.col(id_col)))
-    taken = F.expr("__copies div __n") + F.when(place <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
-    return (
-        keyed.join(cut(parts), ["__src", "mix_size", "__salt"])
-        .withColumn("mix_copies", taken.cast("int"))
-        .select(*own.columns, *ADDED)
-    )
+        .join(state.select("src", "total", "target"), "src")
+        .select(
+            F.col("src").alias(src), F.col("z").alias(size), F.col("salt").alias(salt), F.col("ahead").alias(before), F.col("n").alias(n), F.col("copies").alias(taken),
+            F.col("rate").alias(rate_name), F.col("total").alias(source_size), F.col("target").alias(target),
+        )
+    )
+    dealt = keyed.join(large.select(F.col("src").alias(src), F.col("z").alias(size), F.col("parts").alias(parts_of)), [src, size], "left").withColumn(salt, part(F.col(hashed), F.col(parts_of)))
+    place = F.col(before) + F.row_number().over(Window.partitionBy(src, size, salt).orderBy(hashed, F.col(id_col), F.col(text_col)))
+    count, rest = F.floor(F.col(taken) / F.col(n)), F.col(taken) % F.col(n)
+    return dealt.join(cut(parts), [src, size, salt]).withColumn(copies_name, (count + F.when(place <= rest, 1).otherwise(0)).cast("int")).select(*own.columns, *added)
 
 
-def take_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def take_copies(mixed: DataFrame, columns: list[str], *, prefix: str = "mix_") -> DataFrame:
     """The mix itself: each row of ``mix_documents`` as often as its copies say."""
-    return mixed.filter("mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
+    (copy,) = unused(mixed.columns, "__copy")
+    return mixed.filter(F.col(prefix + "copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(prefix + "copies")))).select(*columns)

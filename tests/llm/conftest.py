@@ -17,7 +17,7 @@ def prose():
 
 
 #: Columns that operators might use inside.
-CLASHING = "fp long, size long, mix_size long, mix_copies int, copies int, n long, src string, before long, rate double, kept boolean, stratum string, component_id long, block int, key long, value string, kind int, part int, payload string, rank int, url string, spans string"
+CLASHING = "fp long, size long, mix_size long, mix_copies int, copies int, n long, src string, before long, rate double, kept boolean, stratum string, component_id long, block int, key long, value string, kind int, part int, payload string, rank int, url string, spans string, __src string, __hash long, __salt int, __before long, __n long, __copies long, __copy int, __row long, __text string, __place int, __stratum string, __at long, __key string, __kind string, edited_sha256 string, fingerprint string, bucket_place long"
 
 
 @pytest.fixture(scope="session")

@@ -67,6 +67,27 @@ def test_odd_rows(documents, odd_rows):
     assert taken.count() == copies and taken.columns == df.columns
 
 
+def test_clashing_columns_stay(documents, prose):
+    from pyspark.sql import functions as F
+
+    mine = {c: F.lit(42) for c in ("__src", "__hash", "__salt", "__before", "__n", "__copies", "__copy", "__parts", "SRC", "mix_size")}
+    df = documents([(i, prose(10 + i, i), "en", "ab"[i % 2]) for i in range(30)]).withColumns(mine)
+    mixed = mix_documents(df, prefix="m_")
+    rows = take_copies(mixed, df.columns, prefix="m_").select(*mine).collect()
+    assert len(rows) == sum(r["m_copies"] for r in mixed.collect()) and set(map(tuple, rows)) == {(42,) * len(mine)}
+
+
+def test_large_cells_are_dealt(documents, prose, monkeypatch):
+    from collections import Counter
+
+    from juryframe.llm import mixing
+
+    df = documents([(i if i % 3 else None, prose(20, i), "en", "ab"[i % 2]) for i in range(400)])
+    whole = Counter((r["source"], r["mix_copies"]) for r in mix_documents(df).collect())
+    monkeypatch.setattr(mixing, "LARGE_CELL", 10)
+    assert Counter((r["source"], r["mix_copies"]) for r in mix_documents(df).collect()) == whole
+
+
 def test_empty(documents):
     mixed = mix_documents(documents([]))
     assert mixed.count() == 0 and "mix_copies" in mixed.columns
