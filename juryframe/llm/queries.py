@@ -54,9 +54,9 @@ URL_RULES = (
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A label belongs to the page whose id its document carries.
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    # No label is about a page, so pages are their own outcomes.
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filter.judge_urls(pages, url_filter.junk_outcomes(pages), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

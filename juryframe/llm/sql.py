@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from juryframe.llm import quality_rules, url_filter
+from juryframe.llm.beta import beta_cdf_sql
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -49,7 +50,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM scored s LEFT JOIN rejected r ON s.rid = r.rid"""
 
 
-def _shrink(level: str, table: str, keys: str) -> str:
+def _posterior(level: str, table: str, keys: str) -> str:
     """A CTE with the posterior of each key of ``table`` (keys, n, bad, m)."""
     return f"""
 {level}_fit AS (SELECT CASE WHEN total > c AND (s - c) / (total - c) > 0 THEN least(greatest(1 / ((s - c) / (total - c)) - 1, {url_filter.WEAKEST}), {url_filter.STRONGEST}) ELSE {url_filter.STRONGEST} END AS strength
@@ -57,27 +58,30 @@ def _shrink(level: str, table: str, keys: str) -> str:
 {level}_post AS (SELECT {keys}, strength * m + bad AS a, strength * (1 - m) + n - bad AS b FROM {table}, {level}_fit)"""
 
 
-def url_sql(rules: Sequence[tuple[str, str]], z: float = 1.645, limit: float = 0.5) -> str:
+def url_sql(rules: Sequence[tuple[str, str]], limit: float = url_filter.LIMIT, sure: float = url_filter.SURE) -> str:
+    """Pages are their own outcomes; one of two rows with the same id is bad if the other is."""
     values = ", ".join(f"('{kind}', '{text}', '{text.split('/')[0]}', '/{text.partition('/')[2]}')" for kind, text in rules)
-    two = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
-    tail = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
-    number = "regexp_matches(host, '^[0-9.]+$')"
+    two = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+    tail = lambda k: f"array_to_string(list_slice(string_split(name, '.'), -{k}, -1), '.')"
+    number = f"regexp_matches(name, '{url_filter.NUMBER}')"
     return f"""
 WITH own AS (
   SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '{url_filter.PARTS}', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
-         coalesce(regexp_extract(url, '{url_filter.PARTS}', 2), '') AS path FROM pages),
-marks AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, count(bad) AS n, count(*) FILTER (WHERE bad) AS bad,
-          CASE WHEN {number} THEN host WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
-          CASE WHEN {number} THEN host WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix
-          FROM own LEFT JOIN marks USING (page_id) GROUP BY host),
-everything AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + CAST(1 AS DOUBLE)) AS m FROM hosts),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, everything GROUP BY suffix),{_shrink("s", "s", "suffix")},
-d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(a / (a + b)) AS m FROM hosts JOIN s_post USING (suffix) GROUP BY suffix, domain),{_shrink("d", "d", "suffix, domain")},
-h AS (SELECT host, n, bad, a / (a + b) AS m FROM hosts JOIN d_post USING (suffix, domain)),{_shrink("h", "h", "host")},
-bounds AS (SELECT host, greatest(a / (a + b) - {z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))), 0.0) AS bound FROM h_post),
+         coalesce(regexp_extract(url, '{url_filter.PARTS}', 2), '') AS path, coalesce(html, '') AS html FROM pages),
+named AS (SELECT *, rtrim(regexp_replace(host, '{url_filter.NOT_NAME}', '', 'g'), '.') AS name FROM own),
+marks AS (SELECT page_id, bool_or(length(html) - length(regexp_replace(html, '{url_filter.JUNK}', '', 'g')) > CAST({url_filter.JUNK_SHARE} AS DOUBLE) * length(html)) AS bad
+          FROM own WHERE page_id IS NOT NULL GROUP BY page_id),
+hosts AS (SELECT name, count(bad) AS n, count(*) FILTER (WHERE bad) AS bad,
+          CASE WHEN {number} THEN name WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
+          CASE WHEN {number} THEN name WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix
+          FROM named LEFT JOIN marks USING (page_id) GROUP BY name),
+everything AS (SELECT (coalesce(sum(bad), 0) + {limit!r}::DOUBLE) / (coalesce(sum(n), 0) + CAST(1 AS DOUBLE)) AS m FROM hosts),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, everything GROUP BY suffix),{_posterior("s", "s", "suffix")},
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(a / (a + b)) AS m FROM hosts JOIN s_post USING (suffix) GROUP BY suffix, domain),{_posterior("d", "d", "suffix, domain")},
+h AS (SELECT name, n, bad, a / (a + b) AS m FROM hosts JOIN d_post USING (suffix, domain)),{_posterior("h", "h", "name")},
+above AS (SELECT name, 1 - ({beta_cdf_sql(f"{limit!r}::DOUBLE", "a", "b")}) AS above FROM h_post),
 rules(kind, text, name, start) AS (VALUES {values}),
-best AS (SELECT rid, max({{'size': length(text), 'name': length(name), 'kind': kind, 'text': text}}) AS r FROM own, rules
-         WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY rid)
-SELECT page_id, host, path, r.text AS rule, coalesce(r.kind, CASE WHEN bound > {limit} THEN 'block' ELSE 'allow' END) AS verdict
-FROM own JOIN bounds USING (host) LEFT JOIN best USING (rid)"""
+best AS (SELECT rid, max({{'size': length(text), 'name': length(rules.name), 'kind': kind, 'text': text}}) AS r FROM named, rules
+         WHERE (host = rules.name OR ends_with(host, '.' || rules.name)) AND starts_with(path, start) GROUP BY rid)
+SELECT page_id, host, path, r.text AS rule, coalesce(r.kind, CASE WHEN above >= {sure} THEN 'block' ELSE 'allow' END) AS verdict
+FROM named JOIN above USING (name) LEFT JOIN best USING (rid)"""

@@ -48,9 +48,36 @@ def test_parts_and_rules(tables):
 def test_hierarchy(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("x.b.org",), ("1.2.3.4",), ("",), ("com",)], "host string")
     found = {r[0]: (r[1], r[2]) for r in hosts.select("host", url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()}
+    other = hosts.select("host", url_filter.domain_of(F.col("host"), ("b.co.uk", "co.uk"))).collect()
+    assert {r[0]: r[1] for r in other}["a.b.co.uk"] == "a.b.co.uk"
     assert found == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.org": ("b.org", "org"), "x.b.org": ("b.org", "org"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "": ("", ""), "com": ("com", "com")}
 
 
+def test_names(spark):
+    hosts = ["a.org", "a.org.", "a.org:8080", "me:word@a.org:80", "me@a.org", "a.org..:"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0] for r in df.select(url_filter.name_of(F.col("host"))).collect()} == {"a.org"}
+
+
+def beta_above(a, b, limit):
+    """P(rate > limit) by a fine sum over the logarithm of the odds."""
+    import numpy as np
+
+    t = np.linspace(-40, 40, 400_001)
+    logs = -a * np.logaddexp(0, -t) - b * np.logaddexp(0, t)
+    w = np.exp(logs - logs.max())
+    return w[1 / (1 + np.exp(-t)) > limit].sum() / w.sum()
+
+
+def test_beta(spark):
+    from juryframe.llm.beta import beta_cdf
+
+    rows = [(0.5, 0.5, 0.3), (1.0, 9.0, 0.05), (80.0, 900.0, 0.09), (3.5, 20_000.0, 0.0002), (900.0, 80.0, 0.93), (40_000.0, 60_000.0, 0.401)]
+    df = spark.createDataFrame(rows, "a double, b double, x double")
+    for r in df.select("a", "b", "x", beta_cdf(F.col("x"), F.col("a"), F.col("b")).alias("p")).collect():
+        assert 1 - r["p"] == pytest.approx(beta_above(r["a"], r["b"], r["x"]), abs=2e-4)
+
+
 def shrunk(keys, counts, means):
     """The posterior of each key by the formulas of the module, in plain Python."""
     used = [k for k in keys if counts[k][0]]
@@ -62,7 +89,7 @@ def shrunk(keys, counts, means):
 
 
 def test_reputation_against_plain_python(tables):
-    urls, outcomes, bad_of = [], [], {"spam.evil.org": 0.9, "x.evil.org": 0.7, "fine.org": 0.05, "a.good.net": 0.02, "b.good.net": 0.0}
+    urls, outcomes, bad_of = [], [], {"spam.evil.org": 0.9, "x.evil.org": 0.7, "fine.org": 0.0, "a.good.net": 0.02, "b.good.net": 0.0}
     for h, (host, rate) in enumerate(bad_of.items()):
         for i in range(60):
             urls.append((1000 * h + i, f"http://{host}/p{i}"))
@@ -74,14 +101,14 @@ def test_reputation_against_plain_python(tables):
     grouped = lambda f: {k: tuple(map(sum, zip(*[hosts[h] for h in hosts if f(h) == k], strict=True))) for k in {f(h) for h in hosts}}
     doms, sufs = grouped(domain), grouped(suffix)
     mean = lambda p: p[0] / sum(p)
-    top = (sum(b for _, b in hosts.values()) + 0.5) / (sum(n for n, _ in hosts.values()) + 1)
+    top = (sum(b for _, b in hosts.values()) + url_filter.LIMIT) / (sum(n for n, _ in hosts.values()) + 1)
     post_s = shrunk(sufs, sufs, dict.fromkeys(sufs, top))
     post_d = shrunk(doms, doms, {d: mean(post_s[suffix(d)]) for d in doms})
     post_h = shrunk(hosts, hosts, {h: mean(post_d[domain(h)]) for h in hosts})
     for h, (a, b) in post_h.items():
-        bound = max(0.0, a / (a + b) - 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
-        assert found[h]["rate"] == pytest.approx(a / (a + b)) and found[h]["bound"] == pytest.approx(bound)
-        assert found[h]["verdict"] == ("block" if bound > 0.5 else "allow")
+        above = beta_above(a, b, url_filter.LIMIT)
+        assert found[h]["rate"] == pytest.approx(a / (a + b)) and found[h]["above"] == pytest.approx(above, abs=2e-3)
+        assert found[h]["verdict"] == ("block" if above >= url_filter.SURE else "allow")
     assert found["spam.evil.org"]["verdict"] == "block" and found["fine.org"]["verdict"] == "allow"
     assert found["new.evil.org"]["rate"] > found["new.good.net"]["rate"]
 
@@ -97,7 +124,15 @@ def test_empty(tables):
     assert url_filter.judge_urls(*tables([], [(1, True)]), []).count() == 0
 
 
-def test_query(spark, sf_dir):
+def test_ports_share_a_reputation(tables):
+    urls = [(i, f"http://spam.org{':8080' if i % 2 else ''}/{i}") for i in range(40)]
+    found = url_filter.judge_urls(*tables(urls, [(i, True) for i in range(0, 40, 2)]), []).collect()
+    assert {r["verdict"] for r in found} == {"block"} and {r["host"] for r in found} == {"spam.org", "spam.org:8080"}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_query(spark, size):
+    sf_dir, verdicts = f"/root/testdata/{size}", set()
     found = defaultdict(list)
     for r in op6_url_filter(spark, sf_dir).collect():
         found[r["page_id"]].append(r)
@@ -105,3 +140,5 @@ def test_query(spark, sf_dir):
         (mine,) = found[r["page_id"]]
         kind, rule = rule_of(*parts(r["url"]))
         assert (mine["host"], mine["path"], mine["rule"]) == (*parts(r["url"]), rule) and (kind is None or mine["verdict"] == kind)
+        verdicts |= {mine["verdict"]} if kind is None else set()
+    assert verdicts == {"allow", "block"} or size == "sf0.001"
