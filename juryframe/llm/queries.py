@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from juryframe.llm import edit_embedding, kneser_ney, mixing, packing, quality_rules, secrets, simhash, token_counts, url_filter, warc
 from juryframe.llm.common import table
-from juryframe.llm.sql import quality_sql, url_sql
+from juryframe.llm.sql import quality_sql, url_sql, warc_sql
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Twins where SQL can express the query; the others are tested against brute force.
-SQL: dict[str, str] = {"op4_quality_rules": quality_sql(), "op6_url_filter": url_sql(URL_RULES)}
+SQL: dict[str, str] = {"op4_quality_rules": quality_sql(), "op6_url_filter": url_sql(URL_RULES), "op10_warc": warc_sql()}

@@ -85,3 +85,14 @@ best AS (SELECT rid, max({{'size': length(text), 'name': length(rules.name), 'ki
          WHERE (host = rules.name OR ends_with(host, '.' || rules.name)) AND starts_with(path, start) GROUP BY rid)
 SELECT page_id, host, path, r.text AS rule, coalesce(r.kind, CASE WHEN above >= {sure} THEN 'block' ELSE 'allow' END) AS verdict
 FROM named JOIN above USING (name) LEFT JOIN best USING (rid)"""
+
+
+def warc_sql() -> str:
+    """Payloads are compared as texts; a digit of base 32 is five bits of the digest's hex digits."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(sha, 5 * i // 4 + 1, 2))::INTEGER >> (3 - 5 * i % 4)) & 31 AS INTEGER) + 1, 1)"
+    return f"""
+WITH own AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, sha1(payload) AS sha FROM own)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {digit}), '') AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM marked"""

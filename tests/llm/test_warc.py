@@ -1,4 +1,5 @@
 import gzip
+import uuid
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from juryframe.llm import warc
 from juryframe.llm.queries import op10_warc
 
+WRITE = uuid.UUID(int=7)
 PAGES = "page_id long, url string, html string, id long, payload string, value string"
 
 
@@ -24,7 +26,7 @@ def test_chunked_round_trip(payload, size):
 
 @given(st.binary(max_size=400), st.integers(80, 200))
 def test_records_round_trip(payload, segment):
-    records = list(warc.page_records(7, "0-1", "http://a/ü b", "response", None, payload, segment))
+    records = list(warc.page_records(WRITE, 7, "0-1", "http://a/ü b", "response", None, payload, segment))
     data = b"".join(r + b"\r\n\r\n" for r in records)
     for archive in (data, gzip.compress(data)):
         parsed = list(warc.parse_records(archive))
@@ -59,7 +61,59 @@ def test_archives(spark, pages, tmp_path):
     by = {r["page_id"]: bytes(r["payload"]) for r in found if r["record_type"] == "response" and r["page_id"] is not None}
     assert by[5] == ("é" * 40_000).encode() and by[9] == ("漢😀" * 30_000).encode() and by[7] == rows[6][2].encode()
     files = list((tmp_path / "warc").glob("part-*"))
-    assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") for f in files)
+    assert any(files) and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") for f in files)
+    # Each record is a member of its own, and each has its own id.
+    ids = [next(f for f, _ in warc.parse_records(m))["warc-record-id"] for file in files for m in warc._members(file.read_bytes())]
+    assert len(ids) == len(set(ids)) > len(rows) and all(i.startswith("<urn:uuid:") for i in ids)
+
+
+def test_plain_archives(spark, pages, tmp_path):
+    rows = [(1, "http://a/", "x" * 5000), (2, None, "y")]
+    warc.write_warc(pages(rows), str(tmp_path / "warc"), segment=1000, compressed=False)
+    assert {f.read_bytes()[:8] for f in (tmp_path / "warc").glob("part-*")} - {b""} == {b"WARC/1.1"}
+    found = {r["page_id"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert all(r["whole"] for r in found.values()) and bytes(found[1]["payload"]) == b"x" * 5000 and found[2]["url"] is None
+
+
+def test_two_archives_together(spark, pages, tmp_path):
+    rows = [(1, "http://a/", "x" * 100_000), (2, "http://b/", "y")]
+    paths = [str(tmp_path / c) for c in "ab"]
+    for p in paths:
+        warc.write_warc(pages(rows), p)
+    for where in (paths, [str(tmp_path / "*")]):
+        found = warc.read_warc(spark, where).collect()
+        assert sorted((r["page_id"], len(r["payload"]), r["whole"]) for r in found) == [(1, 100_000, True)] * 2 + [(2, 1, True)] * 2
+
+
+def test_files_are_bounded_by_bytes(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS_A_FILE", 1)
+    import random
+
+    noise = [random.Random(i).randbytes(200_000).hex() for i in range(12)]
+    warc.write_warc(pages([(i, None, x) for i, x in enumerate(noise)]).coalesce(1), str(tmp_path / "warc"))
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 1 and max(sizes) < warc.ROW_BYTES + 100_000
+    assert sorted(r["payload_bytes"] for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()) == [400_000] * 12
+
+
+def test_filter_decides_nothing(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILTER_BITS", 8)
+    rows = [(i, None, f"text {i % 40}") for i in range(100)]
+    warc.write_warc(pages(rows), str(tmp_path / "warc"))
+    found = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found], key=str) == expected(rows)
+
+
+def test_malformed_records_are_told(spark, tmp_path):
+    a, b, c = (next(warc.page_records(WRITE, i, str(i), None, "response", None, b"x" * 9, 10_000)) for i in (1, 2, 3))
+    d = list(warc.page_records(WRITE, 4, "4", None, "response", None, b"x" * 900, 300))
+    bad = [a.replace(b"Content-Length: ", b"Content-Length: many", 1), b, d[0], d[1].replace(b"Segment-Number: 2", b"Segment-Number: two"), *d[2:], c[:-4]]
+    (tmp_path / "warc").mkdir()
+    (tmp_path / "warc/a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in bad[:-1]) + bad[-1])
+    packed = [gzip.compress(r + b"\r\n\r\n") for r in (b, c)]
+    (tmp_path / "warc/b.warc.gz").write_bytes(packed[0][:40] + b"\0" * 20 + packed[0][60:] + packed[1])
+    found = sorted((r["page_id"], r["whole"]) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect())
+    assert [x for x in found if x[1]] == [(2, True), (3, True)] and {1, 3, 4} <= {i for i, whole in found if not whole}
 
 
 def test_least_bytes(spark, pages, tmp_path):
@@ -71,7 +125,7 @@ def test_least_bytes(spark, pages, tmp_path):
 
 
 def test_missing_segment_is_told(spark, tmp_path):
-    records = list(warc.page_records(1, "0-1", None, "response", None, b"x" * 900, 300))
+    records = list(warc.page_records(WRITE, 1, "0-1", None, "response", None, b"x" * 900, 300))
     (tmp_path / "warc").mkdir()
     (tmp_path / "warc/a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [*records[:1], *records[2:]]))
     found = warc.read_warc(spark, str(tmp_path / "warc")).collect()
