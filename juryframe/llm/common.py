@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed table in the shared folder, for results that are larger than a checkpoint should be."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the filter of ``maybe_among``: at most 2048 rows of 4 KB, whatever the input.
+FILTER_BITS, FILTER_BUCKET = 1 << 26, 1 << 15
+
+
+def maybe_among(df: DataFrame, key: Column, known: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``: true where the long ``key`` is one of ``known`` (h long), and by chance for some others.
+
+    The filter is a bitmap of fixed size, so it can be broadcast; where keys are so many that it is full, all rows pass. It
+    spares rows a shuffle, and what follows has to decide.
+    """
+    place = lambda h: F.pmod(F.xxhash64(h), F.lit(FILTER_BITS))
+    at, bucket, bits = unused([*df.columns, name], "__at", "__bucket", "__bits")
+    sums = known.select(place(F.col("h")).alias(at)).groupBy(F.floor(F.col(at) / FILTER_BUCKET).alias(bucket)).agg(F.bitmap_construct_agg(F.col(at) % FILTER_BUCKET).alias(bits))
+    found = df.withColumn(at, place(key)).withColumn(bucket, F.floor(F.col(at) / FILTER_BUCKET)).join(F.broadcast(cut(sums)), bucket, "left")
+    bit = F.col(at) % FILTER_BUCKET
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn(name, F.coalesce((F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2) == 1, F.lit(False))).drop(at, bucket, bits)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,16 +1,16 @@
-"""SimHash near-duplicates by pivot distance tables.
+"""SimHash near-duplicates with pivot distance tables.
 
-Every distinct fingerprint is described by its Hamming distances to fixed reference fingerprints (pivots). There
-are two kinds. The *band pivots* differ from the first pivot in one bit each; the difference of the distances to
-such a pivot and to the first one depends on that bit alone. So two fingerprints that agree on a band of bits have
-equal coordinate differences for all of the band's pivots. Two bits cannot touch more than two of six bands, so
-every linked pair agrees on four bands: pairs are looked for only among fingerprints with equal coordinates on four
-bands. The *random pivots* then discard pairs: by the triangle inequality a pair at distance d differs by at most
-d in every coordinate. Survivors are verified bit by bit.
+Candidates share bits: two differing bits touch at most two of six bands, so every linked pair agrees on four bands, and
+pairs are looked for only among fingerprints that do. A table holds every candidate's Hamming distances to fixed
+reference fingerprints (pivots). By the triangle inequality a pair at distance d differs by at most d in every coordinate,
+so a pair whose largest difference is above the radius is discarded; survivors are verified bit by bit. (Distances to
+pivots prune but make no key: those of unrelated fingerprints lie within a few bits of 32.)
 
 Equal fingerprints are one row from the start. A group of more than ``GROUP`` fingerprints is not compared
 pairwise but dealt again by five of seven parts of its two open bands; such a group has at most 2**7 members,
 whatever the input, so no link is lost and no group grows without bound.
+
+Where near-duplicates are asked for by the similarity of word shingles, fingerprints cannot find them all; see ``near_text``.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 
 from juryframe.llm.common import cut
 from juryframe.llm.graph import components
+from juryframe.llm.near_text import near_texts
 
 BITS, BANDS, PARTS, RADIUS = 64, 6, 7, 2
 #: The largest group that is compared pairwise.
 GROUP = 256
 _random = np.random.default_rng(64)
-FIRST = _random.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_PIVOTS = FIRST ^ (np.uint64(1) << np.arange(BITS, dtype=np.uint64))
-RANDOM_PIVOTS = _random.integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2)
+PIVOTS = _random.integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2)
 
 
 def _split(bits: list[int], parts: int) -> list[list[int]]:
@@ -59,13 +58,6 @@ def coordinates(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def band_coordinates(fps: np.ndarray) -> np.ndarray:
-    """Differences of the distances to the band pivots and the first pivot, one bit each, as a 64-bit number."""
-    first = coordinates(fps, np.array([FIRST]))
-    nearer = coordinates(fps, BAND_PIVOTS) < first
-    return np.packbits(nearer, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
-
-
 def simhash(text: bytes, shingle: int) -> int:
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
@@ -95,16 +87,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _deal(blocks_of, columns: list[str]):
-    """Rows (block, key, fp) for every block of a fingerprint: the key is its band coordinates on the block's bits."""
+    """Rows (block, key, fp) for every block of a fingerprint: the key is the block's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            seen = band_coordinates(fps.view(np.uint64))
             for block, mask, rows in blocks_of(batch):
-                keys = (seen[rows] & np.uint64(mask)).view(np.int64)
+                keys = (fps[rows].view(np.uint64) & np.uint64(mask)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys), pa.array(fps[rows])], names=columns)
 
     return run
@@ -143,7 +134,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _linked(fps: np.ndarray, run: np.ndarray) -> list[tuple[int, int]]:
     """Links among fingerprints of equal ``run``, all in sorted order: shifted comparisons, pruned by the pivot table."""
     out: list[tuple[int, int]] = []
-    table = coordinates(fps, RANDOM_PIVOTS)
+    table = coordinates(fps, PIVOTS)
     at = np.arange(len(fps))
     for shift in range(1, len(fps)):
         at = at[: len(at) - (len(at) > 0 and at[-1] + shift >= len(fps))]
@@ -208,12 +199,18 @@ def links(distinct: DataFrame, *, group: int = GROUP) -> DataFrame:
     return found.filter("kind = 0").union(_grouped(again, None)).select("a", "b")
 
 
+def near_groups(docs: DataFrame, *, key_col: str, text_col: str = "text") -> DataFrame:
+    """(key_col, root): near-duplicates by shingles of five words and a similarity of 0.8 or more; see ``near_text.near_texts``."""
+    return near_texts(docs, key_col=key_col, text_col=text_col)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, group: int = GROUP) -> DataFrame:
     """One row a document: doc_id, fp (signed long) and component_id, the smallest doc_id that links reach.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Ids that repeat stay rows of their own;
     null ids are passed over for component_id, which is null only where all ids of a component are. An empty
-    table stays empty.
+    table stays empty. Texts may be of any length: a task holds one text's shingles as hashes of 8 bytes. Other columns are not
+    read, whatever their names.
     """
     marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -21,16 +21,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juryframe.llm.common import cut, shared_dir
+from juryframe.llm.common import cut, maybe_among, shared_dir
 
 SEGMENT, CHUNK_BYTES = 32_768, 8_192
 #: Bytes of records in a row of the writer, and rows in a file.
 ROW_BYTES, ROWS_A_FILE = 1 << 20, 32
-#: Bits of the filter that spares payloads found once a join; it is a table of at most 8 MB whatever the input.
-FILTER_BITS, BUCKET_BITS = 1 << 26, 1 << 15
 END = b"\r\n\r\n"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,12 +141,6 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
             at = stop + 4 + size
 
 
-def _bit(bits: Column, place: Column) -> Column:
-    """Whether a place is set in a bitmap of bytes; null is an empty bitmap."""
-    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce((F.floor(byte / F.pow(F.lit(2), place % 8)) % 2) == 1, F.lit(False))
-
-
 def mark_revisits(pages: DataFrame, *, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
     """``pages`` with __kind and __refers: of equal payloads the smallest id's rows are responses, the others revisit it.
 
@@ -162,10 +154,7 @@ def mark_revisits(pages: DataFrame, *, id_col: str, payload_col: str, least_byte
     # Written first, so that the join's sides are plain shuffles: a payload of very many pages can then be split.
     firsts = keyed.filter(F.octet_length(payload) >= least_bytes).groupBy("__key").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts.filter("n > 1 and __first is not null").select("__key", "__first"))
-    place = lambda df: df.withColumn("__place", F.pmod(F.xxhash64("__key"), F.lit(FILTER_BITS)))
-    bucket, bit = F.floor(F.col("__place") / BUCKET_BITS), F.col("__place") % BUCKET_BITS
-    known = F.broadcast(cut(place(firsts).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))))
-    flagged = place(keyed).withColumn("__bucket", bucket).join(known, "__bucket", "left").withColumn("__maybe", _bit(F.col("__bits"), bit))
+    flagged = maybe_among(keyed, F.xxhash64("__key"), firsts.select(F.xxhash64("__key").alias("h")), "__maybe")
     revisit = F.col("__first").isNotNull() & (F.octet_length(payload) >= least_bytes) & ~F.col(id_col).eqNullSafe(F.col("__first"))
     again = flagged.filter("__maybe").join(firsts, "__key", "left")
     sole = flagged.filter("not __maybe").withColumn("__first", F.lit(None).cast("long"))

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from juryframe.llm import warc
+from juryframe.llm import common, warc
 from juryframe.llm.queries import op10_warc
 
 WRITE = uuid.UUID(int=7)
@@ -97,7 +97,7 @@ def test_files_are_bounded_by_bytes(spark, pages, tmp_path, monkeypatch):
 
 
 def test_filter_decides_nothing(spark, pages, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILTER_BITS", 8)
+    monkeypatch.setattr(common, "FILTER_BITS", 8)
     rows = [(i, None, f"text {i % 40}") for i in range(100)]
     warc.write_warc(pages(rows), str(tmp_path / "warc"))
     found = warc.read_warc(spark, str(tmp_path / "warc")).collect()
