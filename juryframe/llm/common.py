@@ -62,10 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as a compressed table in the shared folder, for results that are larger than a checkpoint should be."""
+def written(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` written once as a compressed table in the shared folder; the folder's path is added to ``scratch``, if given.
+
+    Unlike a checkpoint, whose estimated size is that of the plan it came from, it is planned by the size of its files. So it
+    is what rounds of joins are built of: their estimates would double in digits with each join.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juryframe.llm.common import cut
+from juryframe.llm.common import remove, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: list[str]) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), scratch)
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, scratch: list[str]) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = cut(down.groupBy("a").agg(F.min("b").alias("root")))
+    least = written(down.groupBy("a").agg(F.min("b").alias("root")), scratch)
     return down.join(least, "a").filter("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")).union(least.select("a", F.col("root").alias("b")))
 
 
@@ -25,14 +25,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds. Each round aggregates before it joins, so a node with very many
     links is reduced where they lie. The least neighbours are written before the join: its sides are then plain
-    shuffles, which adaptive execution splits where a node has most of the links. Each round is kept in the shared folder. Null links and links of a node to itself are not used.
+    shuffles, which adaptive execution splits where a node has most of the links. Each round is written to the shared folder, which is cleared at the end. Null links and links of a node to itself are not used.
     """
-    links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    spark, scratch, state = links.sparkSession, [], None
+    links = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
     for _ in range(max_rounds):
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct()).distinct()
+            found = written(links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct()).distinct())
+            for path in scratch:
+                remove(spark, path)
+            return found
         state = now
-        links = cut(_small_star(_large_star(links)).distinct())
+        links = written(_small_star(_large_star(links, scratch), scratch).distinct(), scratch)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
