@@ -37,7 +37,11 @@ FOLDS = 2
 BLOCK_BITS = 13
 #: Bits of the filter for trusted ids. It only spares texts a shuffle; the join after it decides.
 FILTER_BITS = 1 << 26
-_NO_ID, _NO_TEXT = -(1 << 61), -(1 << 62)
+_NO_TEXT = (1 << 62) - 1
+#: Rows of one id, or of none, in a block; an id is dealt by text if it has more rows and at least this share of all.
+BLOCK_ROWS, HOT_SHARE = 4096, 1e-4
+#: A text of more characters is a block of its own.
+LONG_TEXT = 1 << 18
 
 
 def _windows(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +124,18 @@ def fold_of(doc_id: Column, text: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.when(doc_id.isNull(), text)), F.lit(FOLDS)).cast("int")
 
 
-def block_of(doc_id: Column, text: Column) -> Column:
-    """Rows without an id are dealt by their text."""
-    return F.coalesce(F.shiftright(doc_id, BLOCK_BITS), F.lit(_NO_ID) - F.pmod(F.xxhash64(text), F.lit(4096)))
+def with_blocks(own: DataFrame) -> DataFrame:
+    """``own`` (doc_id, text and others) with block: neighbouring ids, but rows without an id, rows of an id that repeats very often and
+    long texts are dealt by their texts into blocks of about BLOCK_ROWS rows, or one text."""
+    ids = cut(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > BLOCK_ROWS)))
+    rows = own.agg(F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.count(F.lit(1)) * F.lit(HOT_SHARE))).alias("most"))  # one row
+    # At most 1 / HOT_SHARE rows, and the one of null.
+    hot = ids.join(F.broadcast(rows), how="cross").filter(F.col("doc_id").isNull() | (F.col("n") > F.col("most")))
+    hot = cut(hot.select(F.col("doc_id").alias("__id"), F.ceil(F.col("n") / BLOCK_ROWS).alias("__parts")))
+    by_text = F.when(F.length("text") > LONG_TEXT, F.xxhash64("text", F.lit("long"))).when(F.col("__parts").isNotNull(), F.xxhash64("doc_id", F.pmod(F.xxhash64("text"), F.col("__parts"))))
+    # Blocks by text are below zero, those by id, moved by half, above.
+    block = F.coalesce(by_text.bitwiseOR(F.lit(-(1 << 63))), F.shiftright("doc_id", BLOCK_BITS) + F.lit(1 << (63 - BLOCK_BITS)))
+    return own.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("block", block).drop("__id", "__parts")
 
 
 def _maybe_trusted(own: DataFrame, ids: DataFrame) -> DataFrame:
@@ -274,10 +287,12 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
     ``trusted`` has the doc_id of trusted documents; all of them are counted, repeated ids once each row of ``docs``.
     The threshold is the quantile of the language's trusted documents, or of all of them where the language
     (null is one) has fewer than ``least_trusted``. Null and empty texts have no symbols and no perplexity and are not
-    kept. Without trusted documents there is no model: perplexity is 1 and everything with text is kept.
+    kept. Without trusted documents there is no model: perplexity is 1 and everything with text is kept. An empty table stays
+    empty. Rows that repeat are judged each; a perplexity equal to the threshold is kept. Texts may be of any length. Ids are
+    cast to long, and a text that is no number raises. Other columns are not read, whatever their names.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    own = own.withColumns({"fold": fold_of(F.col("doc_id"), F.col("text")), "block": block_of(F.col("doc_id"), F.col("text"))})
+    own = with_blocks(own.withColumn("fold", fold_of(F.col("doc_id"), F.col("text"))))
     ids = trusted.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
     counts = cut(count_grams(_maybe_trusted(own, ids).join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), order))
     asked = cut(questions(own, order))

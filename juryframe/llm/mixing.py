@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juryframe.llm.common import cut, unused, word_count
+from juryframe.llm.common import cut, remove, unused, word_count, written
 
 #: A cell of more documents than this, and than this share of all, is dealt by hash into parts of about so many, each of
 #: which is ordered for itself. At most 1 / LARGE_SHARE cells can be that large.
@@ -64,7 +64,8 @@ def _solve(cells: DataFrame, targets: DataFrame, cap: float, tol: float, max_ite
     seen = cells.filter("z > 0").groupBy("src").agg((F.sum(F.col("n") * F.col("z") * F.col("z")) / F.sum(F.col("n") * F.col("z"))).alias("scale"), F.min("z").alias("least"))
     full = F.col("target") >= F.col("total") * cap * (1 - 1e-12)
     below = F.col("target") < F.col("total")
-    state = cut(
+    spark, scratch = cells.sparkSession, []
+    state = written(
         targets.join(seen, "src", "left")
         .withColumn("scale", F.coalesce("scale", F.lit(1.0)))
         .withColumn("least", F.coalesce("least", F.lit(1)))
@@ -72,12 +73,15 @@ def _solve(cells: DataFrame, targets: DataFrame, cap: float, tol: float, max_ite
         .withColumn("lo", F.when(below, F.log(F.col("target") / F.col("total")) * F.col("reach")).otherwise(F.lit(0.0)))
         .withColumn("hi", F.when(below, F.lit(0.0)).otherwise(top * F.col("reach") * (1 + 1e-9)))
         .withColumn("lam", F.when((F.col("total") > 0) & full, F.col("hi")).otherwise(F.lit(0.0)))
-        .select("src", "total", "target", "scale", "lo", "hi", "lam", (full | (F.col("total") == 0)).alias("done"))
+        .select("src", "total", "target", "scale", "lo", "hi", "lam", (full | (F.col("total") == 0)).alias("done")),
+        scratch,
     )
     tilt = F.exp(F.col("lam") * F.col("z") / F.col("scale"))
     words = F.col("n") * F.col("z")
     for _ in range(max_iter):
         if state.filter(~F.col("done")).isEmpty():
+            for path in scratch[:-1]:
+                remove(spark, path)
             return state
         sums = (
             cells.join(state.filter(~F.col("done")).select("src", "scale", "lam"), "src")
@@ -98,8 +102,10 @@ def _solve(cells: DataFrame, targets: DataFrame, cap: float, tol: float, max_ite
             .withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
             .withColumn("next", F.when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step")).otherwise(F.col("mid")))
         )
-        state = cut(
-            stepped.select("src", "total", "target", "scale", "lo", "hi", F.when(F.col("near"), F.col("lam")).otherwise(F.col("next")).alias("lam"), F.col("near").alias("done"))
+        spark, scratch = cells.sparkSession, []
+    state = written(
+            stepped.select("src", "total", "target", "scale", "lo", "hi", F.when(F.col("near"), F.col("lam")).otherwise(F.col("next")).alias("lam"), F.col("near").alias("done")),
+            scratch,
         )
     raise RuntimeError(f"the multipliers did not settle in {max_iter} steps")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from juryframe.llm.beta import beta_cdf
 from juryframe.llm.common import SPACE, WORD, cut
 
 #: Rules, each with its cutoffs from strict to loose.
@@ -76,17 +77,8 @@ def _scores() -> dict[str, Column]:
 
 
 def binomial_tail(k: Column, n: Column, risk: float) -> Column:
-    """P(Binomial(n, risk) <= k), summed term by term in logarithms."""
-    odds = risk / (1 - risk)
-
-    def add(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) / j * F.lit(odds))
-        high, low = F.greatest(acc["total"], term), F.least(acc["total"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
-
-    first = n * F.log(F.lit(1 - risk))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), F.exp(F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add)["total"]))
+    """P(Binomial(n, risk) <= k), which for k < n is the beta distribution function of n - k and k + 1 at 1 - risk."""
+    return F.when(k >= n, F.lit(1.0)).otherwise(beta_cdf(F.lit(1 - risk), F.greatest(n - k, F.lit(1)).cast("double"), (k + 1).cast("double")))
 
 
 def certified_cutoffs(labelled: DataFrame, cutoffs: dict[str, tuple[float, ...]] = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -112,7 +104,7 @@ def certified_cutoffs(labelled: DataFrame, cutoffs: dict[str, tuple[float, ...]]
     tests = F.col("strata") * sum(map(len, cutoffs.values()))
     return (
         counts.filter((F.col("n") > 0) & (F.col("k") <= F.col("n") * F.lit(risk)))
-        .join(strata, how="cross")  # one row
+        .join(F.broadcast(strata), how="cross")  # one row
         .filter(binomial_tail(F.col("k"), F.col("n"), risk) <= F.lit(delta) / tests)
         .filter("bad > 0")
         .groupBy("stratum", "rule")
@@ -137,7 +129,9 @@ def judge_documents(
     ``labels`` has doc_id and quality (1: good). A null text has no words and fails the base rules. A null
     stratum is one of its own. Labels of no document, null labels and null ids are not used; a document labelled more
     than once counts once, good only if every label says so. Rows that repeat are judged each. Without labels
-    there are no cutoffs and the base rules alone decide.
+    there are no cutoffs and the base rules alone decide. An empty table stays empty. Texts may be of any length; a
+    task holds one text's windows of three words. A score equal to a cutoff is not beyond it. Other columns are not read, whatever
+    their names.
     """
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     key = [key_col] if key_col else []

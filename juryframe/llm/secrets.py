@@ -94,8 +94,18 @@ def entropy_spans(text: str, allowed: re.Pattern) -> list[Span]:
 
 def find_secrets(text: str, allowed: re.Pattern) -> list[Span]:
     """All spans by start, then kind; an entropy span inside another span is not repeated."""
-    base = base_spans(text)
-    more = [s for s in entropy_spans(text, allowed) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
+    base, covered, more = base_spans(text), [], []
+    # Base spans in order, without those inside another: both ends rise.
+    for start, _, end in sorted(base, key=lambda s: (s[0], -s[2])):
+        if not covered or end > covered[-1][1]:
+            covered.append((start, end))
+    at = 0
+    for span in entropy_spans(text, allowed):
+        # Of the spans that begin at or before it, the last one ends last.
+        while at < len(covered) and covered[at][0] <= span[0]:
+            at += 1
+        if not at or covered[at - 1][1] < span[2]:
+            more.append(span)
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -107,7 +117,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a document: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
     ``spans`` lists kind:start:end, joined by commas, in code points with the end excluded. Null and empty texts have
-    none. Rows that repeat are scanned each. No row moves between tasks.
+    none. Rows that repeat are scanned each; an empty table stays empty. Texts may be of any length: time grows with the
+    length and the number of spans. Other columns are not read, whatever their names. No row moves between tasks.
     """
     listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
@@ -142,7 +153,8 @@ def redact(text: str, spans: Sequence[Span], mask: str) -> str:
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = None, mask: str = "[SECRET]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; ``chars_col``, if given, is set to the new number of characters
-    where the text changed. Null texts stay null."""
+    where the text changed. Null texts stay null, rows that repeat are masked each, an empty table stays empty, and other
+    columns of any name are kept as they are. Texts may be of any length."""
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,3 +136,15 @@ def test_query_separates_labels(spark):
     found = [(labels[r["doc_id"]], r["kept"]) for r in op9_kneser_ney(spark, sf).collect() if r["doc_id"] in labels]
     good, bad = [k for q, k in found if q == 1], [k for q, k in found if q == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """One id, and none, on a third of all rows each, and long texts: no block is much larger than others."""
+    monkeypatch.setattr(kn, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(kn, "LONG_TEXT", 1000)
+    rows = [(None, f"text {i}") for i in range(1000)] + [(7, f"other {i}") for i in range(1000)] + [(100_000 + i, f"more {i}") for i in range(1000)] + [(i, "x" * (2000 + i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = kn.with_blocks(df)
+    assert blocks.count() == len(rows) and blocks.filter("block is null").count() == 0
+    sizes = {r["block"]: (r["n"], r["long"]) for r in blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 1000).alias("long")).collect()}
+    assert max(n for b, (n, _) in sizes.items() if b < 0) < 150 and all(n == 1 for n, long in sizes.values() if long)

@@ -106,3 +106,20 @@ def test_hex_key_beside_other_characters():
             assert own <= found
             beside += bool(found)
     assert alone == 200 and beside == 1000
+
+
+def test_many_spans_take_no_longer_than_their_number():
+    import time
+
+    from juryframe.llm import secrets
+
+    allow, rng = secrets.allow_list(secrets.ALLOWED), random.Random(4)
+    key = lambda: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(40))
+    lines = [f"token = {key()}" if i % 2 else f"k{i} {key()} 0123456789abcdef0123456789abcdef" for i in range(12_000)]
+    brute = lambda text: sorted((b := secrets.base_spans(text)) + [s for s in secrets.entropy_spans(text, allow) if not any(x[0] <= s[0] and s[2] <= x[2] for x in b)], key=lambda s: (s[0], secrets.KINDS.index(s[1]), s[2]))
+    some = "\n".join(lines[:300])
+    assert secrets.find_secrets(some, allow) == brute(some)
+    began = time.process_time()
+    whole = secrets.find_secrets("\n".join(lines), allow)
+    alone = sum(len(secrets.find_secrets(line, allow)) for line in lines)
+    assert len(whole) == alone and time.process_time() - began < 30
