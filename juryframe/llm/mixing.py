@@ -102,8 +102,7 @@ def _solve(cells: DataFrame, targets: DataFrame, cap: float, tol: float, max_ite
             .withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
             .withColumn("next", F.when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step")).otherwise(F.col("mid")))
         )
-        spark, scratch = cells.sparkSession, []
-    state = written(
+        state = written(
             stepped.select("src", "total", "target", "scale", "lo", "hi", F.when(F.col("near"), F.col("lam")).otherwise(F.col("next")).alias("lam"), F.col("near").alias("done")),
             scratch,
         )
