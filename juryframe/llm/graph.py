@@ -20,22 +20,28 @@ def _small_star(links: DataFrame, scratch: list[str]) -> DataFrame:
     return down.join(least, "a").filter("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")).union(least.select("a", F.col("root").alias("b")))
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node of the different links (a, b), b < a, has two smaller neighbours or both a smaller and a larger one."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds. Each round aggregates before it joins, so a node with very many
+    Alternating large-star and small-star rounds, until the links are stars: every node is linked to one smaller node, or smaller
+    nodes are linked to it. Each round aggregates before it joins, so a node with very many
     links is reduced where they lie. The least neighbours are written before the join: its sides are then plain
     shuffles, which adaptive execution splits where a node has most of the links. Each round is written to the shared folder, which is cleared at the end. Null links and links of a node to itself are not used.
     """
-    spark, scratch, state = links.sparkSession, [], None
+    spark, scratch = links.sparkSession, []
     links = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
     for _ in range(max_rounds):
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            found = written(links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct()).distinct())
+        if _are_stars(links):
+            found = written(links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct()))
             for path in scratch:
                 remove(spark, path)
             return found
-        state = now
-        links = written(_small_star(_large_star(links, scratch), scratch).distinct(), scratch)
+        large = written(_large_star(links, scratch), scratch)
+        links = written(_small_star(large, scratch).distinct(), scratch)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

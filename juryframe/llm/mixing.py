@@ -25,6 +25,8 @@ from juryframe.llm.common import cut, remove, unused, word_count, written
 #: A cell of more documents than this, and than this share of all, is dealt by hash into parts of about so many, each of
 #: which is ordered for itself. At most 1 / LARGE_SHARE cells can be that large.
 LARGE_CELL, LARGE_SHARE = 1024, 1e-4
+#: Points on each side of the Newton point.
+LADDER = 6
 NAMES = ("size", "source_size", "target", "rate", "copies")
 
 
@@ -76,36 +78,44 @@ def _solve(cells: DataFrame, targets: DataFrame, cap: float, tol: float, max_ite
         .select("src", "total", "target", "scale", "lo", "hi", "lam", (full | (F.col("total") == 0)).alias("done")),
         scratch,
     )
-    tilt = F.exp(F.col("lam") * F.col("z") / F.col("scale"))
+    tilt = F.exp(F.col("try") * F.col("z") / F.col("scale"))
     words = F.col("n") * F.col("z")
+    # The gradient is taken at the Newton point and at points ever nearer to it on both sides, which narrow the bracket.
+    tries = F.array("lam", *[F.col("lam") + (F.col(end) - F.col("lam")) * F.lit(4.0**-k) for end in ("lo", "hi") for k in range(1, LADDER + 1)])
     for _ in range(max_iter):
         if state.filter(~F.col("done")).isEmpty():
             for path in scratch[:-1]:
                 remove(spark, path)
             return state
         sums = (
-            cells.join(state.filter(~F.col("done")).select("src", "scale", "lam"), "src")
+            cells.join(state.filter(~F.col("done")).select("src", "scale", "target", F.array_distinct(tries).alias("tries")), "src")
+            .withColumn("try", F.explode("tries"))
             .withColumn("tilt", tilt)
-            .groupBy("src")
+            .groupBy("src", "target", "try")
             .agg(
                 F.sum(words * F.least(F.col("tilt"), F.lit(float(cap)))).alias("got"),
                 F.sum(F.when(F.col("tilt") < cap, words * F.col("z") / F.col("scale") * F.col("tilt")).otherwise(F.lit(0.0))).alias("slope"),
             )
+            .withColumn("miss", F.abs(F.log(F.col("got") / F.col("target"))))
+            .groupBy("src")
+            .agg(
+                F.max(F.when(F.col("got") <= F.col("target"), F.col("try"))).alias("above"),
+                F.min(F.when(F.col("got") > F.col("target"), F.col("try"))).alias("below"),
+                F.min(F.struct("miss", "try", "got", "slope")).alias("best"),
+            )
         )
-        step = F.col("lam") - F.log(F.col("got") / F.col("target")) * F.col("got") / F.col("slope")
+        step = F.col("best.try") - F.log(F.col("best.got") / F.col("target")) * F.col("best.got") / F.col("best.slope")
         stepped = (
             state.join(sums, "src", "left")
-            .withColumn("near", F.col("done") | (F.abs(F.col("got") / F.col("target") - 1) < tol))
-            .withColumn("lo", F.when(F.col("got") <= F.col("target"), F.col("lam")).otherwise(F.col("lo")))
-            .withColumn("hi", F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi")))
-            .withColumn("step", F.when((F.col("got") > 0) & (F.col("slope") > 0), step))
+            .withColumn("near", F.col("done") | (F.abs(F.col("best.got") / F.col("target") - 1) < tol))
+            .withColumn("lo", F.greatest("lo", "above"))
+            .withColumn("hi", F.least("hi", "below"))
+            .withColumn("step", F.when((F.col("best.got") > 0) & (F.col("best.slope") > 0), step))
             .withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
             .withColumn("next", F.when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step")).otherwise(F.col("mid")))
         )
-        state = written(
-            stepped.select("src", "total", "target", "scale", "lo", "hi", F.when(F.col("near"), F.col("lam")).otherwise(F.col("next")).alias("lam"), F.col("near").alias("done")),
-            scratch,
-        )
+        settled = F.when(F.col("done"), F.col("lam")).when(F.col("near"), F.col("best.try")).otherwise(F.col("next"))
+        state = written(stepped.select("src", "total", "target", "scale", "lo", "hi", settled.alias("lam"), F.col("near").alias("done")), scratch)
     raise RuntimeError(f"the multipliers did not settle in {max_iter} steps")
 
 
