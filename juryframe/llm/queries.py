@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juryframe.llm import edit_embedding, kneser_ney, mixing, packing, quality_rules, secrets, simhash, token_counts, url_filter, warc
-from juryframe.llm.common import table
+from juryframe.llm import edit_embedding, kneser_ney, mixing, packing, periodic, quality_rules, secrets, simhash, token_counts, url_filter, warc
+from juryframe.llm.common import WORD, table
 from juryframe.llm.sql import quality_sql, url_sql, warc_sql
 
 
@@ -80,6 +80,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """``text``, whose words go round from a place on where the hash of the id is a multiple of ten; without an id it stays."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def made(words: Column) -> Column:
+        a = F.pmod(g, F.size(words))
+        p = 1 + F.floor((F.size(words) - a) / (3 + F.pmod(g, F.lit(8))))
+        # Both are worked out once a text, as members of an array of one.
+        return F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda x: F.array_join(F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int")))), " "))[0]
+
+    edited = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda words: F.when(F.size(words) > 0, made(words)).otherwise(""))[0]
+    return F.when(h % 10 == 0, edited).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.with_digests(periodic.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_packing": op2_packing,
@@ -91,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: Twins where SQL can express the query; the others are tested against brute force.
