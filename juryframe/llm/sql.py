@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from juryframe.llm import quality_rules, url_filter
+from juryframe.llm import odd_sketch, quality_rules, url_filter
 from juryframe.llm.beta import beta_cdf_sql
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -96,3 +96,22 @@ marked AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, sha1(pay
 SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {digit}), '') AS payload_digest,
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM marked"""
+
+
+def odd_sketch_sql(shingle: int = odd_sketch.SHINGLE, percent: int = odd_sketch.PERCENT) -> str:
+    """All pairs that share a shingle, counted exactly; equal sets are one node. Ids are taken to be unique, as in the given tables."""
+    gram = " || ' ' || ".join(["words[i]", *[f"words[i + {k}]" for k in range(1, shingle)]])
+    return f"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_WORD}+') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {shingle} THEN [array_to_string(words, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {shingle - 2}), lambda i: {gram}))) END AS grams FROM own),
+nodes AS (SELECT min(doc_id) AS node, len(grams) AS n, any_value(grams) AS grams FROM sets WHERE len(grams) > 0 GROUP BY grams),
+flat AS (SELECT node, n, unnest(grams) AS gram FROM nodes),
+links AS (SELECT x.node AS a, y.node AS b FROM flat x JOIN flat y ON x.gram = y.gram AND x.node <> y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+          GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+reached(node, other) AS (SELECT node, node FROM nodes UNION SELECT node, b FROM reached JOIN links ON a = other),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node),
+found AS (SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
+          FROM sets s LEFT JOIN nodes n ON s.grams = n.grams LEFT JOIN roots r ON n.node = r.node)
+SELECT *, doc_id = component_id AS kept FROM found"""
