@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juryframe.llm import edit_embedding, kneser_ney, mixing, odd_sketch, packing, periodic, quality_rules, secrets, simhash, token_counts, url_filter, warc
+from juryframe.llm import edit_embedding, kneser_ney, mixing, odd_sketch, packing, periodic, prefix_trie, quality_rules, secrets, simhash, token_counts, url_filter, warc
 from juryframe.llm.common import WORD, table
-from juryframe.llm.sql import odd_sketch_sql, quality_sql, url_sql, warc_sql
+from juryframe.llm.sql import odd_sketch_sql, prefix_trie_sql, quality_sql, url_sql, warc_sql
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_packing": op2_packing,
@@ -117,7 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_odd_sketches": op12_odd_sketches,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Twins where SQL can express the query; the others are tested against brute force.
-SQL: dict[str, str] = {"op4_quality_rules": quality_sql(), "op6_url_filter": url_sql(URL_RULES), "op10_warc": warc_sql(), "op12_odd_sketches": odd_sketch_sql()}
+SQL: dict[str, str] = {"op4_quality_rules": quality_sql(), "op6_url_filter": url_sql(URL_RULES), "op10_warc": warc_sql(), "op12_odd_sketches": odd_sketch_sql(), "op13_prefix_trie": prefix_trie_sql()}

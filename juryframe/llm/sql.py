@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from juryframe.llm import odd_sketch, quality_rules, url_filter
+from juryframe.llm import odd_sketch, prefix_trie, quality_rules, url_filter
 from juryframe.llm.beta import beta_cdf_sql
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -115,3 +115,28 @@ roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node),
 found AS (SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
           FROM sets s LEFT JOIN nodes n ON s.grams = n.grams LEFT JOIN roots r ON n.node = r.node)
 SELECT *, doc_id = component_id AS kept FROM found"""
+
+
+def prefix_trie_sql(family: int = prefix_trie.FAMILY, given: int = prefix_trie.GIVEN) -> str:
+    """Every prefix of every rebuilt conversation as a list; CRC-32 (polynomial 0xEDB88320) bit by bit over the id's digits."""
+    codes = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"""
+WITH own AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda s, b: {bits}), 4294967295) % {given} AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, i, t FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % {family} AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, t FROM convs c JOIN own o ON o.conv_id = c.conv_id AND i > h),
+sequences AS (SELECT conv_id, list(t ORDER BY part, i) AS s FROM rebuilt GROUP BY conv_id),
+paths AS (SELECT conv_id, coalesce(s, []) AS s FROM convs LEFT JOIN sequences USING (conv_id)),
+steps AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM paths),
+nodes AS (SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth) AS ends FROM steps GROUP BY s[1:depth], depth),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY p[1:depth - 1]),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(nodes.p[depth].text) END AS saved FROM nodes LEFT JOIN children ON nodes.p = children.p),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted),
+sums AS (SELECT p[1:d] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY p[1:d])
+SELECT c.conv_id, c.depth, parent.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN sums ON c.p = sums.p LEFT JOIN nodes parent ON c.depth > 0 AND parent.p = c.p[1:c.depth - 1]"""

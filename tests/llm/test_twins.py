@@ -10,7 +10,7 @@ def test_twin(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("conversations", "documents", "labels", "pages"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     twin = con.sql(SQL[name])
