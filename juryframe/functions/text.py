@@ -31,31 +31,74 @@ def join_tokens(words: Column) -> Column:
     return F.trim(F.array_join(words, " "))
 
 
-def _coded(words: Column, vocabulary: Column) -> Column:
-    # A code from 0x10000 on is a pair of 16-bit units.
-    def code(w: Column) -> Column:
-        n = F.array_position(vocabulary, w)
-        return F.concat(F.hex(F.shiftright(n, 10) + 0xD800), F.hex(F.pmod(n, F.lit(1024)) + 0xDC00))
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+def _trimmed(a: Column, b: Column) -> Column:
+    """Structs of the two lists without the tokens that they begin and end with alike."""
+
+    def common(x: Column, y: Column) -> Column:
+        same = F.zip_with(x, y, lambda v, w: v.eqNullSafe(w) & v.isNotNull())
+        place = F.array_position(same, F.lit(False))
+        return F.when(place > 0, place - 1).otherwise(F.size(same).cast("long")).cast("int")
+
+    def cut(x: Column, ends: Column) -> Column:
+        return F.slice(x, ends["head"] + 1, F.size(x) - ends["head"] - ends["tail"])
+
+    def ends(head: Column) -> Column:
+        rest = [F.reverse(F.slice(x, head + 1, F.size(x) - head)) for x in (a, b)]
+        return F.struct(head.alias("head"), common(*rest).alias("tail"))
+
+    return _bound(_bound(common(a, b), ends), lambda e: F.struct(cut(a, e).alias("a"), cut(b, e).alias("b")))
+
+
+def _coded(words: Column, dictionary: Column, strange: int) -> Column:
+    """A text of one character for each word: its place in the sorted ``dictionary``, found by halving, or ``strange`` if it has none.
+
+    A code from 0x10000 on is a pair of 16-bit units.
+    """
+    powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    steps = F.filter(powers, lambda k: k <= F.size(dictionary))
+
+    def code(w: Column, steps: Column) -> Column:
+        # The number of entries that are no greater than the word, one bit after another.
+        step = lambda at, k: F.when(F.get(dictionary, at + k - 1) <= w, at + k).otherwise(at)
+        upto = F.aggregate(steps, F.lit(0), step)
+        n = _bound(upto, lambda p: F.when(F.get(dictionary, p - 1) == w, p + 1).otherwise(F.lit(strange)))
+        return _bound(n, lambda n: F.concat(F.hex(F.shiftright(n, 10) + 0xD800), F.hex(F.pmod(n, F.lit(1024)) + 0xDC00)))
+
+    codes = _bound(steps, lambda s: F.transform(words, lambda w: code(w, s)))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
+#: Distances up to which the table of prefixes is walked in a band, before all of it is.
+BANDS = (8, 32, 128, 512, 2048)
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """The distance of two texts: in a band about the diagonal that widens until it holds the distance."""
+    tries = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in BANDS]
+    return F.coalesce(*tries, F.levenshtein(a, b))
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Least number of substituted, inserted and deleted tokens, inside the JVM; null for a null list.
 
-    Each token that both lists hold becomes a character, all others of a list one more, and the built-in distance counts
-    characters. The time is the product of the lengths. More than MOST_CODES shared tokens raise an error, as there are
+    What the lists begin and end with alike is left out. Of the rest each token that both hold becomes a character, by its place in one sorted
+    dictionary; all others of a list become one more. The built-in distance then counts characters in a band that widens as
+    the distance needs, so the time is the length times the distance. More than MOST_CODES shared tokens raise an error, as there are
     no more characters; ``word_distance_udf`` takes those.
     """
-    shared = F.array_intersect(ref, hyp)
 
-    def distance(v: Column) -> Column:
-        # Tokens that only one list holds have place 0; the first two places are kept free for the codes of both lists.
-        v = F.concat(F.array_repeat(F.lit(None).cast("string"), 2), v)
-        return F.levenshtein(_coded(ref, v), F.replace(_coded(hyp, v), F.lit("\U00010000"), F.lit("\U00010001")))
+    def distance(t: Column) -> Column:
+        shared = F.array_sort(F.array_intersect(t["a"], t["b"]))
+        fits = lambda d: F.size(d) <= MOST_CODES - 2
+        counted = lambda d: F.when(fits(d), _bound(F.struct(_coded(t["a"], d, 0).alias("a"), _coded(t["b"], d, 1).alias("b")), lambda c: _banded(c["a"], c["b"])))
+        return _bound(shared, lambda d: counted(d).when(~fits(d), F.raise_error(F.lit("too many different tokens for word_distance")).cast("int")))
 
-    fits = F.size(shared) <= MOST_CODES - 2
-    return F.when(fits, F.transform(F.array(shared), distance)[0]).when(~fits, F.raise_error(F.lit("too many different tokens for word_distance")).cast("int"))
+    return F.when(ref.isNotNull() & hyp.isNotNull(), _bound(_trimmed(ref, hyp), distance))
 
 
 @F.pandas_udf(IntegerType())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juryframe.functions import choice, frames, text
-from juryframe.operators import combine, report, router, split, stats, synthetic, voting
+from juryframe.operators import combine, report, router, segments, series, split, stats, synthetic, voting
 from juryframe.schema import EXPERTS, rounded, score_array
 from juryframe.sources import adapters
 from juryframe.sources.adapters import table
@@ -422,7 +422,7 @@ def top_k_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {STEPS} SELECT run, tag, step, {r("CASE WHEN count(*) OVER (PARTITION BY run, tag) < 5 THEN value ELSE sum(value) OVER (PARTITION BY run, tag ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0::DOUBLE END", 4)} AS smooth FROM steps""")
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.moving_average(adapters.steps(spark, sf_dir), 5, ["run", "tag"]).select("run", "tag", "step", rounded(F.col("smooth"), 4).alias("smooth"))
+    return series.moving_average(adapters.steps(spark, sf_dir), 5, ["run", "tag"], place="place").select("run", "tag", "step", rounded(F.col("smooth"), 4).alias("smooth"))
 
 
 @query("SELECT doc_id, n_chars FROM (SELECT * FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 25)")
@@ -457,10 +457,10 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Frames ---------------------------------------------------------------------------------------------------------------
-def _flat(spark: SparkSession, sf_dir: str, made) -> DataFrame:
-    """(clip_id, t, total) of a sequence: the sum of each frame's numbers."""
-    rows = adapters.frames(spark, sf_dir).select("clip_id", F.posexplode(made).alias("t", "frame"))
-    return rows.select("clip_id", F.col("t").cast("long").alias("t"), rounded(F.aggregate("frame", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+def _totals(parts: DataFrame) -> DataFrame:
+    """(clip_id, t, total) of sequences in parts: the sum of each frame's numbers."""
+    rows = parts.select("clip_id", "start", F.posexplode("frames").alias("t", "frame"))
+    return rows.select("clip_id", (F.col("start") + F.col("t")).alias("t"), rounded(F.aggregate("frame", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 TOTAL = r("list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))", 4)
@@ -468,7 +468,7 @@ TOTAL = r("list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))", 4)
 
 @query(f"WITH {FRAMES} SELECT clip_id, t, {TOTAL} AS total FROM frames WHERE t < 20")
 def truncate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(spark, sf_dir, frames.truncate(F.col("frames"), 20))
+    return _totals(segments.truncate(adapters.segments(spark, sf_dir), 20))
 
 
 @query(f"WITH {FRAMES} SELECT clip_id, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY clip_id")
@@ -487,10 +487,10 @@ def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FRAMES}, longest AS (SELECT max(n) AS m FROM frames), clips AS (SELECT DISTINCT clip_id, n FROM frames)
 SELECT clip_id, CAST(m AS INTEGER) AS padded, CAST(m - n AS INTEGER) AS zeros, CAST(n AS INTEGER) AS masked FROM clips, longest""")
 def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = adapters.frames(spark, sf_dir)
-    longest = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count").cast("int").alias("m"))  # one row
-    padded = clips.join(F.broadcast(longest), how="cross").select("clip_id", frames.pad(F.col("frames"), F.col("m"), 64).alias("p"), frames.mask(F.col("frames"), F.col("m")).alias("k"))
-    return padded.select("clip_id", F.size("p").alias("padded"), F.size(F.filter("p", lambda f: F.forall(f, lambda x: x == 0))).alias("zeros"), F.size(F.filter("k", lambda b: b)).alias("masked"))
+    parts = segments.pad(adapters.segments(spark, sf_dir), "clip_id", 64)
+    zeros = F.size(F.filter("frames", lambda f: F.forall(f, lambda x: x == 0)))
+    counts = {"padded": F.size("frames"), "zeros": zeros, "masked": F.size(F.filter("mask", lambda b: b))}
+    return parts.groupBy("clip_id").agg(*[F.sum(n).cast("int").alias(c) for c, n in counts.items()])
 
 
 @query(f"""WITH {FRAMES} SELECT clip_id, CAST(d AS INTEGER) AS d, {r("avg(CAST(x AS DOUBLE))", 5)} AS mean FROM (SELECT clip_id, unnest(embedding) AS x, unnest(range(0, 64)) AS d FROM frames) GROUP BY clip_id, d""")
@@ -501,8 +501,15 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES} SELECT clip_id, CAST(count(*) FILTER (WHERE t < 10 + clip_id) AS INTEGER) AS first, CAST(count(*) FILTER (WHERE t >= 10 + clip_id) AS INTEGER) AS second FROM frames GROUP BY clip_id")
 def split_at_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = frames.split_at(F.col("frames"), (F.col("clip_id") + 10).cast("int"))
-    return adapters.frames(spark, sf_dir).select("clip_id", F.size(first).alias("first"), F.size(second).alias("second"))
+    parts = segments.split_at(adapters.segments(spark, sf_dir), F.col("clip_id") + 10)
+    return parts.groupBy("clip_id").agg(*[F.sum(F.size(c)).cast("int").alias(c) for c in ("first", "second")])
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY label, vec_id, d) - 1 AS position, CAST(x AS DOUBLE) AS value
+FROM (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS d FROM embeddings)""")
+def flat_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segments.flat_values(adapters.segments(spark, sf_dir), "clip_id", 64)
+    return found.select("position", F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT doc_id, least(1500, CAST(floor(n_chars / 320) AS BIGINT)) AS valid, CAST(floor(n_chars / 16000.0::DOUBLE * 50) AS BIGINT) AS legacy FROM documents WHERE n_chars > 1600")
@@ -583,7 +590,7 @@ def pca_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mlp_pool_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing probabilities of pooled frames under seeded weights."""
-    pooled = adapters.frames(spark, sf_dir).select("clip_id", frames.pooled_vector(F.col("frames"), 64).alias("pooled"))
+    pooled = segments.pooled(adapters.segments(spark, sf_dir), "clip_id")
     return pooled.select("clip_id", router.route(spark, F.col("pooled"), router.Weights.seeded(64, 32, len(EXPERTS))).alias("probs"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juryframe.functions.choice import softmax
+from juryframe.operators.segments import PART, segmented
+from juryframe.operators.series import placed
 from juryframe.operators.split import split
 from juryframe.schema import EXPERTS
 
@@ -55,19 +57,20 @@ def expert_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypotheses(spark, sf_dir).select("clip_id", "ref", F.explode(rows).alias("r")).select("clip_id", "ref", "r.*")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clip_id, frames): the embeddings of a label in order of their ids."""
-    rows = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
-    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("clip_id")).agg(F.transform(rows, lambda r: r["embedding"]).alias("frames"))
+def segments(spark: SparkSession, sf_dir: str, part_rows: int = PART) -> DataFrame:
+    """(clip_id, part, start, frames): the embeddings of a label in order of their ids, in parts of ``part_rows``."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("clip_id"), "vec_id", "embedding")
+    return segmented(rows, "clip_id", "vec_id", "embedding", part_rows)
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, tag, step, value) of events: three runs, a tag for each kind of event."""
-    from pyspark.sql import Window
+#: Seconds of a range by which events are ordered.
+STEP_SPAN = 86400.0
+
 
-    order = Window.partitionBy("run", "tag").orderBy("ts", "event_id")
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, tag, step, value, place) of events: three runs, a tag for each kind of event; place is step - 1."""
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("run"), F.col("event_type").alias("tag"), "ts", "event_id", "value")
-    return rows.withColumn("step", F.row_number().over(order).cast("long")).select("run", "tag", "step", "value")
+    return placed(rows, ["run", "tag"], ["ts", "event_id"], STEP_SPAN).select("run", "tag", (F.col("place") + 1).alias("step"), "value", "place")
 
 
 #: Method names with seeds and their rates.

@@ -132,18 +132,6 @@ def test_rounding(spark):
     assert one(spark, rounded(F.lit(-2.5), 0)) == -3.0
 
 
-def test_moving_average(spark):
-    import numpy as np
-
-    rows = [("a", i, float(i * i)) for i in range(7)] + [("b", 0, 5.0)]
-    df = spark.createDataFrame(rows, "run string, step int, value double")
-    for k in (1, 2, 3, 4, 5):
-        found = {(r["run"], r["step"]): r["smooth"] for r in report.moving_average(df, k, ["run"]).collect()}
-        want = np.convolve([i * i for i in range(7)], np.ones(k) / k, mode="same")
-        assert np.allclose([found["a", i] for i in range(7)], want)
-        assert found["b", 0] == 5.0
-
-
 def test_top_checkpoints_falls_back_to_the_best(spark):
     df = spark.createDataFrame([("x", 2.0), ("y", 1.0)], "checkpoint string, value double")
     assert [r["checkpoint"] for r in report.top_checkpoints(df, 0).collect()] == ["y"]
@@ -188,3 +176,22 @@ def test_frames_do_not_depend_on_partitions(spark):
 def test_null_and_repeated_ids_are_split(spark):
     df = spark.createDataFrame([(None,), (None,), (1,), (1,), (2,)], "id long")
     assert sorted(r["rn"] for r in split.ranked(df, "id", 1).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_word_distance_in_bands(spark):
+    """Common ends, all distances from none to everything, tokens in one list only, and tokens that hold others."""
+    import random
+
+    rng, rows = random.Random(4), [([], []), (["a"], []), ([], ["a", "b"]), (["a", "b", "c"], ["a", "c"]), (["x"] * 5, ["x"] * 9), (["a", "aa", "aaa"], ["aa", "aaa", "a"])]
+    for i in range(120):
+        ref = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))]
+        hyp = list(ref)
+        for _ in range(i):
+            at = rng.randint(0, len(hyp))
+            hyp[at : at + rng.randint(0, 2)] = [rng.choice("abcxyz")] * rng.randint(0, 2)
+        rows.append((ref, hyp))
+    rows += [([str(i) for i in range(3000)], [str(i) for i in range(3000) if i % 700]), (["é", "漢", "😀"] * 50, ["漢", "😀", "é"] * 50), (None, ["a"])]
+    df = spark.createDataFrame(rows, "ref array<string>, hyp array<string>")
+    found = df.select(text.word_distance(F.col("ref"), F.col("hyp")).alias("a"), text.word_distance_udf("ref", "hyp").alias("b")).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found]
+    assert [r["a"] for r in found][:6] == [0, 1, 2, 1, 4, 2] and found[-1]["a"] is None

@@ -1,0 +1,74 @@
+"""Sequences in parts agree with sequences held as arrays."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from juryframe.operators import segments
+
+PART = 8
+
+
+@pytest.fixture(scope="module")
+def sequences():
+    rng = random.Random(2)
+    return {k: [[float(rng.randint(1, 99)) for _ in range(3)] for _ in range(n)] for k, n in ((-3, 1), (0, 8), (4, 30), (9, 17), (1000, 5))}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, sequences):
+    rows = [(k, 10 * t + k, f) for k, fs in sequences.items() for t, f in enumerate(fs)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "clip long, id long, frame array<float>").repartition(4)
+    return segments.segmented(df, "clip", "id", "frame", PART, span=40).cache()
+
+
+def whole(df, column="frames"):
+    """Sequences put together from their parts, whose starts must tile them."""
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["clip"], r["start"])):
+        assert r["start"] == len(out.setdefault(r["clip"], []))
+        out[r["clip"]] += r[column]
+    return out
+
+
+def test_parts_are_short_and_whole(parts, sequences):
+    assert whole(parts) == sequences
+    assert max(len(r["frames"]) for r in parts.collect()) == PART
+    assert {r["clip"]: r["length"] for r in segments.lengths(parts, "clip").collect()} == {k: len(v) for k, v in sequences.items()}
+
+
+@pytest.mark.parametrize("longest", [0, 1, 8, 9, 20, 99])
+def test_truncate(parts, sequences, longest):
+    assert whole(segments.truncate(parts, longest)) == {k: v[:longest] for k, v in sequences.items() if longest}
+
+
+@pytest.mark.parametrize("to", [None, 30, 33, 3])
+def test_pad(parts, sequences, to):
+    padded, goal = segments.pad(parts, "clip", 3, to, PART).cache(), to or 30
+    want = {k: v + [[0.0] * 3] * max(goal - len(v), 0) for k, v in sequences.items()}
+    assert whole(padded) == want
+    assert whole(padded, "mask") == {k: [i < len(sequences[k]) for i in range(len(v))] for k, v in want.items()}
+    assert max(len(r["frames"]) for r in padded.collect()) <= PART
+
+
+@pytest.mark.parametrize("position", [-1, 0, 5, 8, 16, 100])
+def test_split_at(parts, sequences, position):
+    rows = sorted(segments.split_at(parts, F.lit(position)).collect(), key=lambda r: (r["clip"], r["start"]))
+    for k, v in sequences.items():
+        at = max(position, 0)
+        assert sum((r["first"] for r in rows if r["clip"] == k), []) == v[:at]
+        assert sum((r["second"] for r in rows if r["clip"] == k), []) == v[at:]
+
+
+def test_pooled(parts, sequences):
+    for r in segments.pooled(parts, "clip").collect():
+        v = sequences[r["clip"]]
+        assert r["pooled"] == pytest.approx([sum(f[d] for f in v) / len(v) for d in range(3)])
+
+
+def test_flat_values(parts, sequences):
+    found = segments.flat_values(parts, "clip", 3).orderBy("position").collect()
+    assert [r["value"] for r in found] == [x for k in sorted(sequences) for f in sequences[k] for x in f]
+    assert [r["position"] for r in found] == list(range(len(found)))
