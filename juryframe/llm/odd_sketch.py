@@ -10,8 +10,9 @@ A text is the set of its different word shingles. Two texts are linked if the Ja
   candidate is dropped if the XOR has more bits than a pair at the limit has, by six standard deviations.
 
 What is left is verified on the full sets. Copies of one text are a single node from the start. The members of a band's group are
-first compared with the group's least node; then only pairs that this has left in different components are compared, by a join
-that tests the sketches while it matches, so that pairs which the sketches tell apart are never made.
+first compared with the group's least node. Where this leaves a group in several components, its strays are compared with the others
+in blocks of at most ``CHUNK`` by ``CHUNK`` texts: a task compares the sketches of a block as bitmaps, fetches the texts only of nodes
+that have a candidate, and hands on no pairs but the links that join components. A pair is judged in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ SHINGLE, PERCENT = 3, 85
 #: Bands, and MinHash samples in a band.
 BANDS, VALUES = 40, 7
 SAMPLES = BANDS * VALUES
+#: Texts on a side of a block in which the members of a large group are compared.
+CHUNK = 1024
+#: Bytes of shingles that a task keeps of a block.
+KEPT_BYTES = 64 << 20
 #: Words of 64 bits in an odd sketch.
 SKETCH = 16
 SKETCH_BITS = 64 * SKETCH
@@ -141,20 +146,160 @@ def _alike(percent: int) -> Column:
     return (100 * smaller >= percent * larger) & (differing <= most_differing(percent))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: list[str]) -> DataFrame:
-    """Links (a, b) among the different ``pairs`` of nodes, whose texts are fetched and compared."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "digest", "least"), "node"), scratch)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, i, j), which follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            part = batch.slice(int(at), int(end - at))
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Block:
+    """The two sides of a block as arrays, and the pairs across that sizes and sketches allow."""
+
+    def __init__(self, block: pa.Table, percent: int) -> None:
+        number = lambda c: block.column(c).to_numpy()
+        stray = block.column("stray").to_numpy()
+        self.x, self.y = np.flatnonzero(stray), np.flatnonzero(~stray)
+        self.node, self.root, self.n = number("node"), number("root"), number("n")
+        self.sketch = np.stack([number(c) for c in _SKETCH_COLUMNS], axis=1).view(np.uint64)
+        self.percent, self.most = percent, most_differing(percent)
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Places of the other side that ``x`` may be linked with, the most alike first."""
+        y = self.y
+        fits = (self.root[y] != self.root[x]) & (100 * np.minimum(self.n[y], self.n[x]) >= self.percent * np.maximum(self.n[y], self.n[x]))
+        y = y[fits]
+        bits = np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1)
+        near = np.flatnonzero(bits <= self.most)
+        return y[near[np.argsort(bits[near], kind="stable")]]
+
+
+def _meeting(percent: int):
+    """The rows of blocks that have a candidate on the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            block, met = _Block(table, percent), np.zeros(table.num_rows, bool)
+            for x in block.x:
+                found = block.candidates(x)
+                met[found] = True
+                met[x] = len(found) > 0
+            if met.any():
+                yield from table.select(["key", "i", "j", "stray", "node", "root"]).filter(pa.array(met)).to_batches()
+
+    return run
+
+
+class _Shingles:
+    """The sets of a block's texts, each worked out when it is asked for and kept while there is room."""
+
+    def __init__(self, texts: pa.ChunkedArray, shingle: int) -> None:
+        self.texts, self.shingle, self.kept, self.size = texts, shingle, {}, 0
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        if (found := self.kept.get(row)) is None:
+            found = shingles(_bytes(self.texts[int(row)]), self.shingle)
+            if self.size + found.nbytes > KEPT_BYTES:
+                self.kept, self.size = {}, 0
+            self.kept[row] = found
+            self.size += found.nbytes
+        return found
+
+
+def _across(shingle: int, percent: int):
+    """Links (a, b) of blocks that join different components, verified on the full sets."""
+
+    def linked(grams: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which of the other sets are similar; no set is empty."""
+        sizes = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+        shared = np.add.reduceat(grams[at] == flat, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+        return 100 * shared >= percent * (len(grams) + sizes - shared)
+
+    def work(table: pa.Table) -> list[tuple[int, int]]:
+        block, sets, up, out = _Block(table, percent), _Shingles(table.column("text"), shingle), {}, []
+        key = table.column("key")[0].as_py()
+        keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)
+
+        def top(r: int) -> int:
+            while (above := up.get(r, r)) != r:
+                up[r] = r = up.get(above, above)
+            return r
+
+        for x in block.x:
+            found = block.candidates(x)
+            same = keys[found] == keys[x]
+            found = found[keys[x][same.argmax(axis=1)] == key] if len(found) else found
+            for at in range(0, len(found), 64):
+                left = [y for y in found[at : at + 64] if top(int(block.root[y])) != top(int(block.root[x]))]
+                if not left:
+                    continue
+                for y in np.array(left)[linked(sets[x], [sets[y] for y in left])]:
+                    if (p := top(int(block.root[y]))) != (q := top(int(block.root[x]))):
+                        up[p] = q
+                        out.append((int(block.node[x]), int(block.node[y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            if out := work(table):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _fetched(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
+    """(node, text) of the different ``nodes``; only rows that may be among them are shuffled."""
+    known = written(nodes.join(classes.select("node", "digest", "least"), "node"), scratch)
     place = F.xxhash64("digest", "doc_id")
-    near = maybe_among(texts, place, nodes.select(F.xxhash64("digest", "least").alias("h")), "__maybe").filter("__maybe").drop("__maybe").alias("t")
-    own = near.join(nodes.alias("n"), (F.col("t.digest") == F.col("n.digest")) & F.col("t.doc_id").eqNullSafe(F.col("n.least"))).select("node", "text")
-    own = written(own.dropDuplicates(["node"]), scratch)
+    near = maybe_among(texts, place, known.select(F.xxhash64("digest", "least").alias("h")), "__maybe").filter("__maybe").drop("__maybe").alias("t")
+    own = near.join(known.alias("n"), (F.col("t.digest") == F.col("n.digest")) & F.col("t.doc_id").eqNullSafe(F.col("n.least"))).select("node", "text")
+    return written(own.dropDuplicates(["node"]), scratch)
+
+
+def _star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: list[str]) -> DataFrame:
+    """Links (a, b) among the different ``pairs`` of a node and its group's least one, whose texts are fetched and compared."""
+    own = _fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, texts, scratch)
     first, second = (own.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return written(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, percent), "a long, b long"), scratch)
 
 
-def _joined(near: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, root) of the components of ``near`` and ``links``."""
-    return components(links if near is None else near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+def _stray_links(members: DataFrame, near: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: list[str]) -> DataFrame:
+    """Links (a, b) between components within groups, but those with a group's least node, which are known."""
+    roots = near.select(F.col("node").alias("__node"), "root")
+    rooted = written(members.join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root")), scratch)
+    # Groups that lie in more than one component; home is that of the least node.
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("home")).filter("low <> high")
+    apart = written(rooted.join(split.select("key", "home"), "key").withColumn("stray", F.col("root") != F.col("home")), scratch)
+    chunks = lambda condition: F.ceil(F.count_if(condition) / CHUNK)
+    sizes = apart.groupBy("key").agg(chunks(F.col("stray")).alias("ni"), chunks(F.col("node") != F.col("lead")).alias("nj"))
+    apart = apart.join(sizes, "key")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    strays = apart.filter("stray").select("key", own("ni").alias("i"), each("nj").alias("j"), F.lit(True).alias("stray"), "node", "root")
+    others = apart.filter("node <> lead").select("key", each("ni").alias("i"), own("nj").alias("j"), F.lit(False).alias("stray"), "node", "root")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    kinds = "key long, i long, j long, stray boolean, node long, root long"
+    sketched = classes.select("node", "n", *_SKETCH_COLUMNS)
+    met = written(blocks(strays.union(others).join(sketched, "node")).mapInArrow(_meeting(percent), kinds), scratch)
+    fetched = _fetched(met.select("node").distinct(), classes, texts, scratch)
+    full = met.join(classes.select("node", "n", "keys", *_SKETCH_COLUMNS), "node").join(fetched, "node")
+    return written(blocks(full).mapInArrow(_across(shingle, percent), "a long, b long"), scratch)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -163,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``kept`` is true where the document's id is the component's. Null and empty texts, and texts without words, have no shingles and
     are linked with nothing. Rows with one id stay rows of their own, each with its own text's component. Null ids are passed
     over for component_id, which is null only where all ids of a component are; such rows are kept. An empty table stays empty.
-    ``docs`` is read three times. Other columns are not read, whatever their names. Texts may be of any length: a task holds
+    ``docs`` is read four times. Other columns are not read, whatever their names. Texts may be of any length: a task holds
     the texts of one batch and the shingles of two of them, 8 bytes each.
     """
     spark, scratch = docs.sparkSession, []
@@ -179,19 +324,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = written(dealt.join(groups, "key"), scratch)
     stars = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     close = stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(_alike(percent))
-    near = _joined(None, _links(written(close.select("a", "b"), scratch), classes, texts, shingle, percent, scratch))
-
-    roots = near.select(F.col("node").alias("__node"), "root")
-    rooted = written(members.join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root")), scratch)
-    # Groups that lie in more than one component; home is that of the least node.
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("home")).filter("low <> high")
-    apart = written(rooted.join(apart.select("key", "home"), "key").join(sketched, "node"), scratch)
-    strays, others = apart.filter("root <> home").alias("x"), apart.filter("node <> lead").alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _alike(percent)
-    across = strays.join(others, met).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    across = written(across.distinct(), scratch)
-    if not across.isEmpty():
-        near = _joined(near, _links(across, classes, texts, shingle, percent, scratch))
+    near = components(_star_links(written(close.select("a", "b"), scratch), classes, texts, shingle, percent, scratch))
+    more = _stray_links(members, near, classes, texts, shingle, percent, scratch)
+    if not more.isEmpty():
+        near = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     roots = near.select(F.col("node").alias("__node"), "root")
     rooted = classes.select("digest", "node", "least", "n").join(roots, F.col("node") == F.col("__node"), "left").select("digest", "least", "n", F.coalesce("root", "node").alias("root"))

@@ -112,11 +112,22 @@ def test_hardly_a_pair_at_the_limit_shares_no_band():
 
 
 def test_template_pairs_are_told_apart_by_sketches(spark, prose, tmp_path, documents, monkeypatch):
-    """Texts that share three quarters of their shingles meet in bands, but hardly a pair is fetched and compared word by word."""
-    passage, compared, links = prose(100, 5), [], odd_sketch._links
-    monkeypatch.setattr(odd_sketch, "_links", lambda pairs, *rest: (compared.append(pairs.count()), links(pairs, *rest))[1])
+    """Texts that share half of their shingles meet in bands, but hardly a text is fetched and compared word by word."""
+    passage, fetched, own = prose(100, 5), [], odd_sketch._fetched
+    monkeypatch.setattr(odd_sketch, "_fetched", lambda nodes, *rest: (fetched.append(nodes.count()), own(nodes, *rest))[1])
     rows = [(i, f"{passage} {prose(70, 2000 + i)}", "en", "a") for i in range(300)]
     rows += [(300 + i, changed(rows[i][1], 2, i), "en", "a") for i in range(20)]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     same(op12_odd_sketches(spark, str(tmp_path)), [(i, t) for i, t, _, _ in rows])
-    assert sum(compared) < 3 * len(rows)
+    assert sum(fetched) < 100
+
+
+def test_large_groups_in_small_blocks(spark, documents, texts, tmp_path, monkeypatch):
+    """Blocks of a few texts, sets that are not kept, and many near copies just below the limit of one another."""
+    monkeypatch.setattr(odd_sketch, "CHUNK", 5)
+    monkeypatch.setattr(odd_sketch, "KEPT_BYTES", 4000)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    base = texts[0]
+    rows += [(1000 + i, changed(base, 6 + i % 4, 3000 + i), "en", "a") for i in range(60)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    same(op12_odd_sketches(spark, str(tmp_path)), [(i, t) for i, t, _, _ in rows])
