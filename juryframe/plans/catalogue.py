@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juryframe.functions import choice, frames, text
 from juryframe.operators import combine, report, router, segments, series, split, stats, synthetic, voting
+from juryframe.plans import storage  # noqa: F401  its queries are entered too
+from juryframe.plans.registered import QUERIES, SQL, query, r  # noqa: F401
 from juryframe.schema import EXPERTS, rounded, score_array
 from juryframe.sources import adapters
 from juryframe.sources.adapters import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 SEED, TAU, SMOOTHING = 42, 0.5, 0.1
 #: Shares of the total loss: chosen score, hard and soft cross-entropy.
 LOSS_SHARES = (1.0, 0.5, 0.5)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its twin."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(x: str, places: int = 6) -> str:
-    """The twin of ``rounded``."""
-    return f"(sign({x}) * floor(abs({x}) * 1e{places} + 0.5) / 1e{places} + 0.0)"
-
-
 SCORES = """scores AS (
   SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS clip_id,
          min(l_discount * 10) AS hubert_wer, min(l_tax * 10) AS whisper_wer, min(l_quantity / 50) AS w2v2_wer

@@ -1,20 +1,16 @@
-"""Files of clips: scans, layout, half-precision features, footers and random access."""
+"""Files of clips: scans, metadata, results and audio rows."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from juryframe.schema import EXPERTS
-
-GROUP_ROWS, RECHUNK_ABOVE, CACHED_GROUPS = 256, 1024, 4
+from juryframe.sources import row_groups
 
 
 def scan(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -38,80 +34,13 @@ def score_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f"{e}_wer", T.DoubleType()) for e in EXPERTS])).parquet(path)
 
 
-def half_scan(spark: SparkSession, path: str, features: Sequence[str], others: str) -> DataFrame:
-    """Features kept as half-precision numbers, decoded to ``array<array<float>>``.
-
-    Spark has no such type; under a stated schema the two bytes of each number arrive as binary. ``others`` are the remaining
-    columns as DDL.
-    """
-    ddl = ", ".join([others, *[f"{c} array<array<binary>>" for c in features]])
-    df = spark.read.schema(ddl).parquet(path)
-    return df.withColumns({c: decode_half(F.col(c)) for c in features})
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-def _decode(frames: pd.Series) -> pd.Series:
-    one = lambda f: np.frombuffer(b"".join(f), "<f2").astype(np.float32)
-    return pd.Series([None if x is None else [one(f) for f in x] for x in frames])
-
-
-def decode_half(frames: Column) -> Column:
-    return _decode(frames)
-
-
-def half_value(two_bytes: Column) -> Column:
-    """One little-endian half-precision number as a double, by arithmetic on its bits."""
-    n = F.conv(F.hex(F.reverse(two_bytes)), 16, 10).cast("int")
-    sign = F.when(n >= 32768, -1.0).otherwise(1.0)
-    power, part = F.floor(n / 1024) % 32, n % 1024
-    return (
-        F.when((power == 31) & (part > 0), F.lit(float("nan")))
-        .when(power == 31, sign * F.lit(float("inf")))
-        .when(power == 0, sign * part * F.lit(2.0**-24))
-        .otherwise(sign * (1 + part / 1024) * F.pow(F.lit(2.0), power - 15))
-    )
-
-
-def write_clips(df: DataFrame, path: str, group_rows: int = GROUP_ROWS, mode: str = "error") -> None:
-    """Parquet with row groups of at most ``group_rows`` rows."""
-    df.write.mode(mode).option("parquet.block.row.count.limit", group_rows).parquet(path)
-
-
-def rechunk(spark: SparkSession, source: str, target: str, group_rows: int = GROUP_ROWS) -> None:
-    """The same rows in row groups of another size; no row moves between tasks."""
-    write_clips(spark.read.parquet(source), target, group_rows)
-
-
-def _files(spark: SparkSession, path: str) -> list:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    return [f for f in fs.listStatus(place) if f.isFile() and f.getPath().getName().endswith(".parquet")] if fs.getFileStatus(place).isDirectory() else [fs.getFileStatus(place)]
-
-
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, group, rows) of every row group, from the footers alone, read through Hadoop's file systems."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for status in _files(spark, path):
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(status.getPath(), conf))
-        try:
-            blocks = reader.getFooter().getBlocks()
-            found += [(status.getPath().getName(), i, int(blocks.get(i).getRowCount())) for i in range(blocks.size())]
-        finally:
-            reader.close()
-    return spark.createDataFrame(found, "file string, group int, rows long")
-
-
 def file_metadata(spark: SparkSession, path: str) -> dict[str, str]:
-    """Key and value metadata of a Parquet file's schema; of a folder, of its first file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files = sorted(_files(spark, path), key=lambda f: f.getPath().getName())
-    if not files:
+    """Key and value metadata of a Parquet file; of a table, of its first file."""
+    first = row_groups.files(spark, path).agg(F.min("path")).first()[0]
+    if first is None:
         return {}
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(files[0].getPath(), conf))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(first), conf))
     try:
         return dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
     finally:
@@ -127,39 +56,6 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return {r["key"]: json.loads(r["value"]) for r in spark.read.schema("key string, value string").json(f"{path}_meta").collect()}
 
 
-def cached_groups(asked: int, groups: int) -> int:
-    """How many row groups to keep: at least one, at most all."""
-    return max(1, min(asked, groups))
-
-
-def cache_path(source: str, cache_dir: str, group_rows: int = GROUP_ROWS) -> str:
-    parent, _, name = source.rstrip("/").rpartition("/")
-    return f"{cache_dir.rstrip('/')}/{name.removesuffix('.parquet')}_rg{group_rows}_{hashlib.md5(parent.encode()).hexdigest()[:8]}.parquet"
-
-
-def ensure_small_groups(spark: SparkSession, source: str, cache_dir: str, group_rows: int = GROUP_ROWS, ratio: int = RECHUNK_ABOVE // GROUP_ROWS) -> str:
-    """``source`` if its row groups are small enough, else a copy that has small ones.
-
-    A copy that is complete and no older than its source is used again. The writer's commit makes a copy appear whole.
-    """
-    largest = footers(spark, source).agg(F.max("rows")).first()[0] or 0
-    if largest <= group_rows * ratio:
-        return source
-    target = cache_path(source, cache_dir, group_rows)
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    newest = max(f.getModificationTime() for f in _files(spark, source))
-    if not (fs.exists(done) and fs.getFileStatus(done).getModificationTime() >= newest):
-        write_clips(spark.read.parquet(source), target, group_rows, mode="overwrite")
-    return target
-
-
-def row(df: DataFrame, key: str, value: int) -> DataFrame:
-    """One row by its key; sorted files prune by their statistics."""
-    return df.filter(F.col(key) == value)
-
-
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Nested result documents, each a JSON file."""
     return spark.read.option("multiLine", True).json(path)

@@ -1,5 +1,3 @@
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,43 +11,6 @@ def clips(spark, tmp_path):
     return path
 
 
-def test_rechunk(spark, clips, tmp_path):
-    target = str(tmp_path / "small.parquet")
-    clip_files.rechunk(spark, clips, target, 256)
-    groups = [r["rows"] for r in clip_files.footers(spark, target).collect()]
-    assert max(groups) <= 256 and sum(groups) == 3000
-    assert spark.read.parquet(target).agg(F.sum("x")).first()[0] == 3000 * 2999
-
-
-def test_cache_is_used_again(spark, clips, tmp_path):
-    cache = str(tmp_path / "cache")
-    first = clip_files.ensure_small_groups(spark, clips, cache)
-    assert first == clip_files.cache_path(clips, cache) and spark.read.parquet(first).count() == 3000
-    made = (tmp_path / "cache").stat().st_mtime_ns
-    assert clip_files.ensure_small_groups(spark, clips, cache) == first
-    assert (tmp_path / "cache").stat().st_mtime_ns == made
-    assert clip_files.ensure_small_groups(spark, clips, cache, group_rows=4000) == clips
-
-
-def test_cached_groups():
-    assert [clip_files.cached_groups(a, g) for a, g in ((4, 10), (0, 10), (4, 2))] == [4, 1, 2]
-
-
-def test_half_floats(spark, tmp_path):
-    import numpy as np
-
-    path = str(tmp_path / "half.parquet")
-    values = [[[1.5, -0.25], [65504.0, 6e-8]], [[0.0, 3.140625]]]
-    kind = pa.list_(pa.list_(pa.float16()))
-    pq.write_table(pa.table({"hubert_wer": [0.5, 0.25], "hubert_features": pa.array([[[np.float16(x) for x in f] for f in row] for row in values], kind)}), path)
-    found = clip_files.half_scan(spark, path, ["hubert_features"], "hubert_wer double").orderBy("hubert_wer").collect()
-    assert found[1]["hubert_features"] == [[np.float32(np.float16(x)) for x in f] for f in values[0]]
-    raw = spark.read.schema("hubert_features array<array<binary>>").parquet(path)
-    flat = raw.select(F.explode(F.flatten("hubert_features")).alias("b")).select(clip_files.half_value(F.col("b"))).collect()
-    assert sorted(r[0] for r in flat) == sorted(float(np.float16(x)) for row in values for f in row for x in f)
-    assert clip_files.score_scan(spark, path).agg(F.sum("hubert_wer")).first()[0] == 0.75
-
-
 def test_metadata(spark, clips):
     clip_files.write_metadata(spark, clips, {"regimes": [1, 2], "seed": 42})
     assert clip_files.read_metadata(spark, clips) == {"regimes": [1, 2], "seed": 42}
@@ -59,7 +20,6 @@ def test_metadata(spark, clips):
 def test_scan_prunes(spark, clips):
     assert clip_files.scan(spark, clips, ["x"]).columns == ["x"]
     assert clip_files.scan_sql(spark, clips, "x", "id = 7").collect()[0]["x"] == 14
-    assert clip_files.row(spark.read.parquet(clips), "id", 5).first()["x"] == 10
 
 
 def test_results(spark, tmp_path):
