@@ -37,13 +37,15 @@ def split_at(frames: Column, position: Column) -> tuple[Column, Column]:
     return F.slice(frames, F.lit(1), position), F.slice(frames, position + 1, F.greatest(F.size(frames) - position, F.lit(0)))
 
 
+def position_code(t: Column, width: int) -> Column:
+    """The sinusoidal code of place ``t``: sines in even places, cosines in odd ones."""
+    angle = lambda i: t * F.exp(F.floor(i / 2) * 2 * F.lit(-9.210340371976184 / width))  # noqa: E731  ln 10000
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i % 2 == 0, F.sin(angle(i))).otherwise(F.cos(angle(i))))
+
+
 def positions(length: int, width: int) -> Column:
-    """Sinusoidal position codes: sines in even places, cosines in odd ones."""
-    angle = lambda t, i: t * F.exp(F.floor(i / 2) * 2 * F.lit(-9.210340371976184 / width))  # noqa: E731  ln 10000
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda t: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i % 2 == 0, F.sin(angle(t, i))).otherwise(F.cos(angle(t, i)))),
-    )
+    """The codes of places 0 to ``length`` - 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: position_code(t, width))
 
 
 def exploded(df: DataFrame, key: str, frames: str) -> DataFrame:

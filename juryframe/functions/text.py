@@ -27,10 +27,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def join_tokens(words: Column) -> Column:
-    return F.trim(F.array_join(words, " "))
-
-
 def _bound(value: Column, use) -> Column:
     """``use(value)``, with the value worked out once however often it is used."""
     return F.transform(F.array(value), use)[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from juryframe.schema import ALIASES
@@ -36,28 +36,15 @@ def stack_rows(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def generic_columns(df: DataFrame, expert: str) -> DataFrame:
-    """An expert's own columns under its prefix in the clip table."""
-    prefix = ALIASES[expert]
-    return df.select("clip_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("features", "transcription", "wer") if c in df.columns])
-
-
-def variant_grid(spark: SparkSession, datasets: list[str], experts: list[str]) -> DataFrame:
-    """(dataset, expert) of all datasets and known experts; unknown aliases are left out, none left is an error."""
+def variant_grid(datasets: DataFrame, experts: list[str]) -> DataFrame:
+    """(dataset, expert) of all different datasets and known experts; unknown aliases are left out, none left is an error."""
     known = [e for e in experts if e in ALIASES]
-    if not known or not datasets:
-        raise ValueError("no known dataset and expert is left")
-    pair = spark.createDataFrame([(d,) for d in datasets], "dataset string")
-    # Both lists are arguments, a few names each.
-    return pair.crossJoin(spark.createDataFrame([(e,) for e in known], "expert string"))
+    if not known:
+        raise ValueError("no known expert is left")
+    return datasets.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.lit(e) for e in known])).alias("expert"))
 
 
 def expand_seeds(methods: DataFrame) -> DataFrame:
     """A row for each of a method's ``seeds``, its name with the seed as suffix; without seeds the method stays one row."""
     rows = methods.select("*", F.explode_outer("seeds").alias("seed"))
     return rows.withColumn("method", F.when(F.col("seed").isNull(), F.col("method")).otherwise(F.concat("method", F.lit("-seed"), "seed"))).drop("seeds")
-
-
-def override(shared: dict, own: dict) -> dict:
-    """Settings of a variant over those that all share."""
-    return {**shared, **own}

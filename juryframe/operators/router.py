@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,12 +50,3 @@ def route(spark: SparkSession, pooled: Column, weights: Weights) -> Column:
         return pd.Series(list(probabilities(np.stack(vectors.to_numpy()).astype(float), sent.value)))
 
     return run(pooled)
-
-
-def principal_axes(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
-    """``df`` with pca, the vector's first ``k`` principal components; their signs are arbitrary."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    dense = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
-    return PCA(k=k, inputCol="__v", outputCol="__p").fit(dense).transform(dense).withColumn("pca", vector_to_array("__p")).drop("__v", "__p")

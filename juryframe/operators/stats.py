@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juryframe.functions.choice import argmax, argmin, at, oracle_label
@@ -93,9 +93,10 @@ def class_priors(train: DataFrame, experts: tuple[str, ...] = EXPERTS) -> DataFr
 FALLBACK_PRIORS = (0.323, 0.444, 0.233)
 
 
-def fallback_priors(spark: SparkSession) -> DataFrame:
-    """(expert, prior) for ``class_weights``."""
-    return spark.createDataFrame(list(zip(EXPERTS, FALLBACK_PRIORS, strict=True)), "expert string, prior double")
+def priors_or_fallback(priors: DataFrame) -> DataFrame:
+    """(expert, prior): those of ``class_priors``, but where no row was counted the fixed ones."""
+    fixed = F.map_from_arrays(F.array(*[F.lit(e) for e in EXPERTS]), F.array(*[F.lit(p) for p in FALLBACK_PRIORS]))
+    return priors.select("expert", F.coalesce("prior", fixed[F.col("expert")]).alias("prior"))
 
 
 def class_weights(priors: DataFrame) -> DataFrame:
@@ -165,29 +166,49 @@ def score_limits(scores: DataFrame) -> DataFrame:
     return by_expert(scores, []).groupBy("expert").agg(F.min("wer").alias("low"), F.max("wer").alias("high"))
 
 
-def router_metrics(routed: DataFrame) -> DataFrame:
-    """One row over ``routed`` (scores and probs): the scores of the choice and the oracle, accuracy and frequencies."""
+def _routed(routed: DataFrame, keys: list[str]) -> DataFrame:
     choice, oracle = argmax(F.col("probs")), argmin(score_array())
-    rows = routed.select(choice.alias("choice"), oracle.alias("oracle"), at(score_array(), choice).alias("selected"), F.array_min(score_array()).alias("best"))
-    return rows.agg(
-        rounded(F.avg("selected"), 6).alias("selected_wer"),
-        rounded(F.avg("best"), 6).alias("oracle_wer"),
-        rounded(F.avg(F.col("selected") - F.col("best")), 6).alias("wer_gap"),
-        rounded(F.avg((F.col("choice") == F.col("oracle")).cast("double")), 6).alias("selection_accuracy"),
-        *[rounded(F.avg((F.col("choice") == i).cast("double")), 6).alias(f"freq_{e}") for i, e in enumerate(EXPERTS)],
-        F.count(F.lit(1)).alias("n"),
-    )
+    return routed.select(*keys, choice.alias("choice"), oracle.alias("oracle"), at(score_array(), choice).alias("selected"), F.array_min(score_array()).alias("best"))
+
+
+def _metrics(places: int) -> list[Column]:
+    means = {
+        "selected_wer": F.col("selected"),
+        "oracle_wer": F.col("best"),
+        "wer_gap": F.col("selected") - F.col("best"),
+        "selection_accuracy": (F.col("choice") == F.col("oracle")).cast("double"),
+        **{f"freq_{e}": (F.col("choice") == i).cast("double") for i, e in enumerate(EXPERTS)},
+    }
+    return [*[rounded(F.avg(x), places).alias(name) for name, x in means.items()], F.count(F.lit(1)).alias("n")]
+
+
+def _grouped(rows: DataFrame, keys: list[str]):
+    """Groups by all keys, by each prefix and suffix of them, and the whole; all in one pass."""
+    if not keys:
+        return rows.groupBy()
+    sets = {tuple(keys[i:j]) for i in range(len(keys) + 1) for j in range(i, len(keys) + 1)}
+    return rows.groupingSets([[F.col(k) for k in s] for s in sorted(sets)], *[F.col(k) for k in keys])
+
+
+def router_metrics(routed: DataFrame, keys: list[str] | None = None, places: int = 6) -> DataFrame:
+    """Over ``routed`` (scores and probs): the scores of the choice and the oracle, accuracy and frequencies.
+
+    One row; with ``keys`` (a run, a split) one for each of their values and combinations and one for the whole, in which keys
+    that a row sums over are null.
+    """
+    keys = keys or []
+    return _grouped(_routed(routed, keys), keys).agg(*_metrics(places))
 
 
-def confusion_matrix(routed: DataFrame) -> DataFrame:
-    """A row for each oracle class with the share of each choice; a class that never is the oracle has zeros."""
-    k = range(len(EXPERTS))
-    cell = F.struct(argmin(score_array()).alias("o"), argmax(F.col("probs")).alias("s"))
-    counts = routed.select(cell.alias("c")).agg(*[F.count_if((F.col("c.o") == i) & (F.col("c.s") == j)).alias(f"n{i}{j}") for i in k for j in k])
+def confusion_matrix(routed: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A row for each oracle class with the share of each choice; a class that never is the oracle has zeros. ``keys`` as in ``router_metrics``."""
+    keys, k = keys or [], range(len(EXPERTS))
+    hits = [F.count_if((F.col("oracle") == i) & (F.col("choice") == j)).alias(f"n{i}{j}") for i in k for j in k]
+    counts = _grouped(_routed(routed, keys), keys).agg(*hits)
     total = lambda i: sum((F.col(f"n{i}{j}") for j in k), F.lit(0))
     share = lambda i, j: F.when(total(i) > 0, F.col(f"n{i}{j}").cast("double") / total(i)).otherwise(0.0)
     rows = F.array(*[F.struct(F.lit(EXPERTS[i]).alias("oracle"), *[rounded(share(i, j), 6).alias(f"to_{EXPERTS[j]}") for j in k]) for i in k])
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    return counts.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
 def _corpus_sums() -> tuple[Column, Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from juryframe.functions.choice import clamp
 from juryframe.operators.split import uniform
-from juryframe.schema import EXPERTS
+from juryframe.schema import EXPERTS, by_expert
 
 BEST, WORST = 0.15, 0.50
 
@@ -24,6 +24,12 @@ def regime_table(spark: SparkSession, regimes: int, best: float = BEST, worst: f
     return cells.withColumn("wer", clamp(F.when(own, best).otherwise(worst), 0.01, 1.0))
 
 
+def measured(table: DataFrame) -> DataFrame:
+    """(r1, r2, expert_idx, wer): each expert's mean score over the clips of two regimes; pairs without clips are left out."""
+    long = by_expert(table, ["regime_first", "regime_second"])
+    return long.groupBy(F.col("regime_first").alias("r1"), F.col("regime_second").alias("r2"), "expert_idx").agg(F.avg("wer").alias("wer"))
+
+
 def best_expert(cells: DataFrame) -> DataFrame:
     """(r1, r2, best): the expert of lowest score, of equals the first."""
     return cells.groupBy("r1", "r2").agg(F.min(F.struct("wer", "expert_idx"))["expert_idx"].alias("best"))
@@ -36,9 +42,9 @@ def draw(key: str, seed: int, low: int | Column, high: int | Column) -> Column:
     return (low + F.floor(uniform(F.col(key), seed) * (high - low))).cast("int")
 
 
-def clips(spark: SparkSession, n: int, regimes: int, length: int, seed: int = 42, best: float = BEST, worst: float = WORST) -> DataFrame:
-    """(clip_id, regime_first, regime_second, switch_position, scores): two different regimes and where they change."""
-    rows = spark.range(n).select(F.col("id").alias("clip_id"))
+def clips(ids: DataFrame, regimes: int, length: int, seed: int = 42, best: float = BEST, worst: float = WORST) -> DataFrame:
+    """(clip_id, regime_first, regime_second, switch_position, scores) for each of ``ids`` (clip_id): two different regimes and where they change."""
+    spark, rows = ids.sparkSession, ids.select("clip_id")
     rows = rows.withColumns({"regime_first": draw("clip_id", seed, 0, regimes), "__other": draw("clip_id", seed + 1, 0, regimes - 1), "switch_position": draw("clip_id", seed + 2, length // 4, 3 * length // 4)})
     rows = rows.withColumn("regime_second", F.when(F.col("__other") >= F.col("regime_first"), F.col("__other") + 1).otherwise(F.col("__other"))).drop("__other")
     cells = regime_table(spark, regimes, best, worst)

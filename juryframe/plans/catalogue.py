@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juryframe.functions import choice, frames, text
-from juryframe.operators import combine, report, router, segments, series, split, stats, synthetic, voting
-from juryframe.plans import storage  # noqa: F401  its queries are entered too
+from juryframe.operators import combine, pca, report, router, segments, series, split, stats, synthetic, voting
+from juryframe.plans import routing, storage  # noqa: F401  their queries are entered too
+from juryframe.plans.fragments import FRAMES, LABELLED, SCORES, SPLIT, STEPS
 from juryframe.plans.registered import QUERIES, SQL, query, r  # noqa: F401
 from juryframe.schema import EXPERTS, rounded, score_array
 from juryframe.sources import adapters
@@ -18,20 +19,6 @@ SEED, TAU, SMOOTHING = 42, 0.5, 0.1
 LOSS_SHARES = (1.0, 0.5, 0.5)
 
 
-SCORES = """scores AS (
-  SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS clip_id,
-         min(l_discount * 10) AS hubert_wer, min(l_tax * 10) AS whisper_wer, min(l_quantity / 50) AS w2v2_wer
-  FROM lineitem GROUP BY 1)"""
-#: The place of the least score, which is the first of equals; no score is null here.
-LABEL = "CAST(list_position([hubert_wer, whisper_wer, w2v2_wer], least(hubert_wer, whisper_wer, w2v2_wer)) - 1 AS INTEGER)"
-LABELLED = f"""{SCORES},
-labelled AS (SELECT *, {LABEL} AS label, least(hubert_wer, whisper_wer, w2v2_wer) AS best FROM scores)"""
-SPLIT = f"""{LABELLED},
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', clip_id)), clip_id) AS rn, count(*) OVER () AS n_total FROM labelled),
-split AS (SELECT *, CASE WHEN rn <= floor(n_total * CAST(0.8 AS DOUBLE)) THEN 'train'
-                         WHEN rn <= floor(n_total * CAST(0.8 AS DOUBLE)) + floor(n_total * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split,
-          CAST(('0x' || substr(md5(concat('42:', clip_id)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
-          FROM ranked)"""
 LONG = """SELECT split, 'hubert' AS expert, 0 AS i, hubert_wer AS wer, label, best FROM split
   UNION ALL SELECT split, 'whisper', 1, whisper_wer, label, best FROM split
   UNION ALL SELECT split, 'w2v2', 2, w2v2_wer, label, best FROM split"""
@@ -63,11 +50,7 @@ walk(clip_id, expert, a, b, k, low, older, newer) AS (
            ELSE least(newer[i - low + 1] + 1, newer[i - low] + 1, older[i - greatest(0, k - 1 - len(b))] + CASE WHEN a[i] = b[k + 1 - i] THEN 0 ELSE 1 END) END)
   FROM walk WHERE k < len(a) + len(b)),
 edits AS (SELECT clip_id, expert, len(a) AS n_ref, len(b) AS n_hyp, newer[1] AS edits FROM walk WHERE k = len(a) + len(b))"""
-STEPS = """steps AS (SELECT user_id % 3 AS run, event_type AS tag, value,
-          row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts, event_id) AS step FROM events)"""
-FRAMES = """frames AS (SELECT CAST(label AS BIGINT) AS clip_id, vec_id, embedding,
-           row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"""
-RESULTS = "results(method, wer) AS (VALUES " + ", ".join(f"('{m}', CAST({w} AS DOUBLE))" for m, w in adapters.RESULTS) + ")"
+RESULTS = "results AS (SELECT p_brand || '-seed' || p_size AS method, avg(p_retailprice) / 1000 AS wer FROM part GROUP BY 1)"
 
 
 # Scores ---------------------------------------------------------------------------------------------------------------
@@ -255,9 +238,14 @@ def total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _losses(spark, sf_dir).select(rounded(parts[0] + parts[1] + parts[2], 6).alias("total_loss"))
 
 
-@query(f"""SELECT CAST(range AS BIGINT) AS step, {r("CASE WHEN range < 50 THEN range / CAST(50 AS DOUBLE) ELSE 0.5 * (1 + cos(3.141592653589793 * ((range - 50) / CAST(450 AS DOUBLE)))) END")} AS factor FROM range(0, 500)""")
+#: Steps of warm-up and in all.
+WARMUP, TOTAL_STEPS = 50, 5000
+
+
+@query(f"""WITH {STEPS} SELECT run, tag, step, {r(f"CASE WHEN step < {WARMUP} THEN step / CAST({WARMUP} AS DOUBLE) ELSE 0.5 * (1 + cos(3.141592653589793 * ((step - {WARMUP}) / CAST({TOTAL_STEPS - WARMUP} AS DOUBLE)))) END")} AS factor FROM steps""")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(500).select(F.col("id").alias("step"), rounded(choice.learning_rate_factor(F.col("id"), 50, 500), 6).alias("factor"))
+    factor = choice.learning_rate_factor(F.col("step"), WARMUP, TOTAL_STEPS)
+    return adapters.steps(spark, sf_dir).select("run", "tag", "step", rounded(factor, 6).alias("factor"))
 
 
 # Text -----------------------------------------------------------------------------------------------------------------
@@ -332,50 +320,58 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.stack_rows([turns.filter(F.col("role") == x) for x in ("user", "assistant", "system")]).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('ami'), ('voxpopuli'), ('librispeech')) a(dataset), (VALUES ('hubert'), ('whisper'), ('wav2vec2')) b(expert)")
+@query("SELECT DISTINCT source AS dataset, expert FROM documents, (VALUES ('hubert'), ('whisper'), ('wav2vec2')) e(expert)")
 def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.variant_grid(spark, ["ami", "voxpopuli", "librispeech"], ["hubert", "whisper", "wav2vec2", "unknown"])
+    return combine.variant_grid(table(spark, sf_dir, "documents").select(F.col("source").alias("dataset")), ["hubert", "whisper", "wav2vec2", "unknown"])
 
 
-@query("SELECT 'mlp-seed' || s AS method, s AS seed FROM (VALUES (1), (2), (3)) t(s) UNION ALL SELECT 'oracle', NULL")
+@query("""SELECT n_name || '-seed' || s AS method, CAST(s AS INTEGER) AS seed FROM (SELECT n_name, unnest(range(1, n_regionkey + 1)) AS s FROM nation)
+UNION ALL SELECT n_name, NULL FROM nation WHERE n_regionkey = 0""")
 def seed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.expand_seeds(spark.createDataFrame([("mlp", [1, 2, 3]), ("oracle", None)], "method string, seeds array<int>"))
+    seeds = F.when(F.col("n_regionkey") > 0, F.sequence(F.lit(1), F.col("n_regionkey").cast("int")))
+    return combine.expand_seeds(table(spark, sf_dir, "nation").select(F.col("n_name").alias("method"), seeds.alias("seeds")))
 
 
-CELLS = """cells AS (SELECT CAST(a.range AS INTEGER) AS r1, CAST(b.range AS INTEGER) AS r2, CAST(c.range AS INTEGER) AS expert_idx,
-  CASE WHEN (a.range + 2 * b.range) % 3 = c.range THEN CAST(0.15 AS DOUBLE) ELSE 0.5 END AS wer FROM range(0, {n}) a, range(0, {n}) b, range(0, 3) c)"""
+def _u(seed: int) -> str:
+    return f"CAST(('0x' || substr(md5(concat('{seed}:', o_orderkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-@query(f"WITH {CELLS.format(n=6)} SELECT * FROM cells")
-def regime_wer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.regime_table(spark, 6)
+def _regime_score(i: int) -> str:
+    return f"CASE WHEN (regime_first + 2 * regime_second) % 3 = {i} THEN CAST(0.15 AS DOUBLE) ELSE 0.5 END"
 
 
-@query(f"WITH {CELLS.format(n=6)} SELECT r1, r2, min({{'wer': wer, 'i': expert_idx}}).i AS best FROM cells GROUP BY r1, r2")
-def best_expert_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.best_expert(synthetic.regime_table(spark, 6))
+CLIPS = f"""drawn AS (SELECT CAST(o_orderkey AS BIGINT) AS clip_id, CAST(floor({_u(42)} * 4) AS INTEGER) AS r1, CAST(floor({_u(43)} * 3) AS INTEGER) AS o,
+          CAST(32 + floor({_u(44)} * 64) AS INTEGER) AS switch_position FROM orders),
+clips AS (SELECT clip_id, r1 AS regime_first, CASE WHEN o >= r1 THEN o + 1 ELSE o END AS regime_second, switch_position FROM drawn),
+scored AS (SELECT clips.*, {", ".join(f"{_regime_score(i)} AS {e}_wer" for i, e in enumerate(EXPERTS))} FROM clips),
+cells AS (SELECT regime_first AS r1, regime_second AS r2, CAST(expert_idx AS INTEGER) AS expert_idx, avg(wer) AS wer FROM (
+  {" UNION ALL ".join(f"SELECT regime_first, regime_second, {i} AS expert_idx, {e}_wer AS wer FROM scored" for i, e in enumerate(EXPERTS))}) GROUP BY ALL)"""
 
 
-def _u(seed: int) -> str:
-    return f"CAST(('0x' || substr(md5(concat('{seed}:', range)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated clips, one for each order."""
+    return synthetic.clips(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id")), 4, 128)
 
 
-CLIPS = f"""{CELLS.format(n=4)},
-drawn AS (SELECT CAST(range AS BIGINT) AS clip_id, CAST(floor({_u(42)} * 4) AS INTEGER) AS r1, CAST(floor({_u(43)} * 3) AS INTEGER) AS o,
-          CAST(32 + floor({_u(44)} * 64) AS INTEGER) AS switch_position FROM range(0, 2000)),
-clips AS (SELECT clip_id, r1 AS regime_first, CASE WHEN o >= r1 THEN o + 1 ELSE o END AS regime_second, switch_position FROM drawn),
-scored AS (SELECT clips.*, {", ".join(f"(SELECT wer FROM cells WHERE r1 = regime_first AND r2 = regime_second AND expert_idx = {i}) AS {e}_wer" for i, e in enumerate(EXPERTS))} FROM clips)"""
+@query(f"WITH {CLIPS} SELECT r1, r2, expert_idx, {r('wer')} AS wer FROM cells")
+def regime_wer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.measured(_clips(spark, sf_dir)).withColumn("wer", rounded(F.col("wer"), 6))
+
+
+@query(f"WITH {CLIPS} SELECT r1, r2, min({{'wer': {r('wer')}, 'i': expert_idx}}).i AS best FROM cells GROUP BY r1, r2")
+def best_expert_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.best_expert(synthetic.measured(_clips(spark, sf_dir)).withColumn("wer", rounded(F.col("wer"), 6)))
 
 
 @query(f"WITH {CLIPS} SELECT * FROM scored")
 def synthetic_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.clips(spark, 2000, 4, 128)
+    return _clips(spark, sf_dir)
 
 
 @query(f"""WITH {CLIPS} SELECT {r("avg(least(hubert_wer, whisper_wer, w2v2_wer))")} AS oracle, {r("avg((hubert_wer + whisper_wer + w2v2_wer) / 3)")} AS overall,
 {", ".join(f"{r(f'avg({e}_wer)')} AS {e}_mean" for e in EXPERTS)} FROM scored""")
 def synthetic_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = synthetic.sanity(synthetic.clips(spark, 2000, 4, 128))
+    found = synthetic.sanity(_clips(spark, sf_dir))
     return found.select(*[rounded(F.col(c), 6).alias(c) for c in found.columns])
 
 
@@ -385,7 +381,7 @@ groups AS (SELECT base, avg(wer) AS wer, stddev_pop(wer) AS std, count(*) AS n,
 SELECT 'Model: ' || CASE WHEN n > 1 THEN base || ' (mean)' ELSE sole END AS label, {r("wer")} AS wer, {r("CASE WHEN n > 1 THEN std ELSE 0.0 END")} AS std, n FROM groups
 UNION ALL SELECT 'Model: ' || method, {r("named.wer")}, 0.0::DOUBLE, 1 FROM named JOIN groups USING (base) WHERE n > 1""")
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.seed_summary(adapters.results(spark))
+    return report.seed_summary(adapters.results(spark, sf_dir))
 
 
 @query(f"""SELECT 'price_' || (l_linenumber % 2) AS metric, {r("avg(l_quantity)", 4)} AS value FROM lineitem GROUP BY 1""")
@@ -497,11 +493,11 @@ def valid_frame_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(chars > 1600).select("doc_id", frames.valid_length(chars).alias("valid"), frames.valid_length_legacy(chars).alias("legacy"))
 
 
-@query(f"""SELECT CAST(a.range AS INTEGER) AS t, CAST(b.range AS INTEGER) AS i,
-{r("CASE WHEN b.range % 2 = 0 THEN sin(a.range * exp((b.range // 2) * 2 * (-9.210340371976184 / 16))) ELSE cos(a.range * exp((b.range // 2) * 2 * (-9.210340371976184 / 16))) END")} AS code FROM range(0, 50) a, range(0, 16) b""")
+@query(f"""WITH {FRAMES}, codes AS (SELECT clip_id, t, unnest(range(0, 16)) AS i FROM frames)
+SELECT clip_id, t, CAST(i AS INTEGER) AS i, {r("CASE WHEN i % 2 = 0 THEN sin(t * exp((i // 2) * 2 * (-9.210340371976184 / 16))) ELSE cos(t * exp((i // 2) * 2 * (-9.210340371976184 / 16))) END")} AS code FROM codes""")
 def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.range(1).select(F.posexplode(frames.positions(50, 16)).alias("t", "row"))
-    return codes.select("t", F.posexplode("row").alias("i", "x")).select("t", "i", rounded(F.col("x"), 6).alias("code"))
+    places = adapters.segments(spark, sf_dir).select("clip_id", "start", F.posexplode("frames").alias("t", "f")).select("clip_id", (F.col("start") + F.col("t")).alias("t"))
+    return places.select("clip_id", "t", F.posexplode(frames.position_code(F.col("t"), 16)).alias("i", "x")).select("clip_id", "t", "i", rounded(F.col("x"), 6).alias("code"))
 
 
 # Beyond SQL -----------------------------------------------------------------------------------------------------------
@@ -562,8 +558,8 @@ def rover_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two principal components of every frame."""
-    return router.principal_axes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "pca")
+    """The first two principal components of every frame, over all frames."""
+    return pca.principal_axes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "pca")
 
 
 @query()
@@ -575,6 +571,7 @@ def mlp_pool_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synthetic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated clips with noisy scores and frames."""
-    noisy = synthetic.with_noise(synthetic.clips(spark, 200, 4, 32), "clip_id", SEED, 0.05)
+    """Generated clips, one for each supplier, with noisy scores and frames."""
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip_id"))
+    noisy = synthetic.with_noise(synthetic.clips(ids, 4, 32), "clip_id", SEED, 0.05)
     return synthetic.with_frames(noisy, regimes=4, length=32)

@@ -73,9 +73,25 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(rows, ["run", "tag"], ["ts", "event_id"], STEP_SPAN).select("run", "tag", (F.col("place") + 1).alias("step"), "value", "place")
 
 
-#: Method names with seeds and their rates.
-RESULTS = (("mlp-seed1", 0.40), ("mlp-seed2", 0.41), ("mlp-seed3", 0.405), ("tree_seed7", 0.39), ("tree_seed8", 0.395), ("oracle", 0.24), ("vote", 0.37))
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(method, wer) from part: a brand with its size as seed, the mean price as rate."""
+    name = F.concat("p_brand", F.lit("-seed"), "p_size")
+    return table(spark, sf_dir, "part").groupBy(name.alias("method")).agg((F.avg("p_retailprice") / 1000).alias("wer"))
 
 
-def results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RESULTS), "method string, wer double")
+def run_probs(spark: SparkSession, sf_dir: str, temperature: float = 0.5) -> DataFrame:
+    """Split scores with run and probs: three routers, each with the softmax of the scores of another expert in the round."""
+    scores_of = lambda k: [-F.col(f"{EXPERTS[(i + k) % len(EXPERTS)]}_wer") / F.lit(temperature) for i in range(len(EXPERTS))]
+    runs = F.array(*[F.struct(F.lit(f"run{k}").alias("run"), softmax(F.array(*scores_of(k))).alias("probs")) for k in range(len(EXPERTS))])
+    return split_scores(spark, sf_dir).withColumn("__run", F.explode(runs)).select("*", "__run.run", "__run.probs").drop("__run")
+
+
+#: First dimension and width of each expert's frames in an embedding.
+EXPERT_DIMS = {"hubert": (0, 32), "whisper": (16, 48), "w2v2": (0, 64)}
+
+
+def expert_segments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Sequences in parts for each expert, whose frames are some of the dimensions of an embedding."""
+    parts = segments(spark, sf_dir)
+    own = lambda at, n: F.transform("frames", lambda f: F.slice(f, at + 1, n))
+    return {e: parts.withColumn("frames", own(*dims)) for e, dims in EXPERT_DIMS.items()}

@@ -158,17 +158,17 @@ def test_assemble_needs_equal_keys(spark):
 
 def test_grid_without_known_experts(spark):
     with pytest.raises(ValueError):
-        combine.variant_grid(spark, ["ami"], ["other"])
+        combine.variant_grid(spark.createDataFrame([("ami",)], "dataset string"), ["other"])
 
 
 def test_clips_have_two_regimes(spark):
-    rows = synthetic.clips(spark, 300, 3, 32).collect()
+    rows = synthetic.clips(spark.range(300).toDF("clip_id"), 3, 32).collect()
     assert all(r["regime_first"] != r["regime_second"] and 8 <= r["switch_position"] < 24 for r in rows)
     assert {r["regime_second"] for r in rows} == {0, 1, 2}
 
 
 def test_frames_do_not_depend_on_partitions(spark):
-    made = synthetic.clips(spark, 20, 3, 8)
+    made = synthetic.clips(spark.range(20).toDF("clip_id"), 3, 8)
     a, b = (sorted(synthetic.with_frames(df, regimes=3, length=8).collect()) for df in (made, made.repartition(5)))
     assert a == b and len(a[0]["hubert_features"]) == 8 and len(a[0]["hubert_features"][0]) == 16
 
