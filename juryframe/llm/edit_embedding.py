@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from juryframe.llm import banding
-from juryframe.llm.common import cut, maybe_among, written
+from juryframe.llm.common import cut, maybe_among, remove, written
+from juryframe.llm.graph import components
 
 CLASSES, PERIOD, SAMPLES, LEAST_SCALE = 64, 4096, 128, 4
 PAD, CHANCE = 16, 1 / 16
@@ -350,10 +351,33 @@ def with_classes(results: DataFrame, alike: float) -> DataFrame:
             good = pa.array(likenesses(_stacked(batch.column(2)), _stacked(batch.column(3))) >= alike)
             yield batch.filter(good).select([0, 1])
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in banding.blocks(batches):
+            scales, samples = _stacked(block.column("payload").combine_chunks())
+            stray, root = block.column("stray").to_numpy(), block.column("root").to_numpy()
+            forest, others = banding.Forest(block.column("node").to_numpy(), root), np.flatnonzero(~stray)
+            for x in np.flatnonzero(stray):
+                left = forest.apart(x, others)
+                mine = (np.full(len(left), scales[x]), np.broadcast_to(samples[x], (len(left), samples.shape[1])))
+                forest.link(x, left[likenesses(mine, (scales[left], samples[left])) >= alike])
+            yield forest.batch()
+
     # Equal fingerprints have equal keys, so the keys of any row of a class stand for it.
+    scratch: list[str] = []
     nodes = signed.select("row", "fingerprint").mapInArrow(keyed, "node long, keys array<long>").join(counted.select("node").hint("shuffle_hash"), "node", "left_semi")
-    near = banding.linked(nodes, results.select(F.col("row").alias("node"), F.col("fingerprint").alias("payload")), similar).withColumnRenamed("node", "__node")
+    grouped = banding.members(nodes, scratch)
+    known = written(grouped.select("node").distinct(), scratch)
+    payloads = results.select(F.col("row").alias("node"), F.col("fingerprint").alias("payload"))
+    payloads = maybe_among(payloads, F.col("node"), known.select(F.col("node").alias("h")), "__maybe").filter("__maybe").select("node", "payload")
+    payloads = written(payloads.join(known.hint("shuffle_hash"), "node", "left_semi"), scratch)
+    first, second = (payloads.select(F.col("node").alias(c), F.col("payload").alias(f"payload_{c}")) for c in "ab")
+    star = banding.stars(grouped).join(first, "a").join(second, "b").select("a", "b", "payload_a", "payload_b")
+    near = components(written(star.mapInArrow(similar, "a long, b long"), scratch))
+    rows = banding.in_blocks(banding.strays(grouped, near, scratch).join(payloads, "node"))
+    near = banding.joined(near, written(rows.mapInArrow(across, "a long, b long"), scratch)).withColumnRenamed("node", "__node")
     roots = cut(counted.join(near, F.col("node") == F.col("__node"), "left").select("digest", "least", "n", F.coalesce("root", "node").alias("root")))
+    for path in scratch:
+        remove(results.sparkSession, path)
     sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).filter("class_size > 1")
     shared = cut(roots.join(sizes, "root").select(F.col("digest").alias("__digest"), "class_id", "class_size"))
     marked = maybe_among(results.withColumn("__digest", F.unhex(F.md5("fingerprint"))), F.xxhash64("__digest"), shared.select(F.xxhash64("__digest").alias("h")), "__maybe")

@@ -1,51 +1,64 @@
 """Near-duplicates by MinHash, with odd sketches between the bands and the exact check.
 
-A text is the set of its different word shingles. Two texts are linked if the Jaccard similarity of their sets is at least
-``PERCENT`` in a hundred. ``BANDS * VALUES`` MinHash samples of a set serve twice:
+A text is the set of its different word shingles. Two texts are linked if the Jaccard similarity of their sets is at least a
+``Rule``'s percent in a hundred. The MinHash samples of a set serve twice:
 
-* A band is the hash of ``VALUES`` samples; texts that agree on a band are candidates. Of a pair at the limit, a band agrees with
-  probability 0.85 ** 7, and none of the bands with probability 2e-7.
+* A band is the hash of some samples; texts that agree on a band are candidates. With ``RULE``, a band agrees for a pair at the limit
+  with probability 0.85 ** 7, and none of the 40 bands with probability 2e-7.
 * All samples are folded into an odd sketch: each flips one bit of a bitmap, so the XOR of two bitmaps is the sketch of the
   samples in which they differ, and the number of its bits estimates the similarity, the more precisely the higher it is. A
   candidate is dropped if the XOR has more bits than a pair at the limit has, by six standard deviations.
 
-What is left is verified on the full sets. Copies of one text are a single node from the start. The members of a band's group are
-first compared with the group's least node. Where this leaves a group in several components, its strays are compared with the others
-in blocks of at most ``CHUNK`` by ``CHUNK`` texts: a task compares the sketches of a block as bitmaps, fetches the texts only of nodes
-that have a candidate, and hands on no pairs but the links that join components. A pair is judged in the first band that it shares.
+What is left is verified on the full sets. Copies of one text are a single node from the start. Groups are compared as ``banding`` says:
+members with the least node, then strays with the others in blocks, where a task compares sketches as bitmaps and texts are fetched
+only for nodes that have a candidate. A pair is judged in the first band that it shares.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from juryframe.llm import banding
 from juryframe.llm.common import maybe_among, remove, written
 from juryframe.llm.graph import components
-from juryframe.llm.near_text import shingles
-
-SHINGLE, PERCENT = 3, 85
-#: Bands, and MinHash samples in a band.
-BANDS, VALUES = 40, 7
-SAMPLES = BANDS * VALUES
-#: Texts on a side of a block in which the members of a large group are compared.
-CHUNK = 1024
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words in a shingle, the similarity in a hundred at which texts are linked, bands, and MinHash samples in a band."""
+
+    shingle: int = 3
+    percent: int = 85
+    bands: int = 40
+    values: int = 7
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.values
+
+
+RULE = Rule()
 #: Bytes of shingles that a task keeps of a block.
 KEPT_BYTES = 64 << 20
 #: Words of 64 bits in an odd sketch.
 SKETCH = 16
 SKETCH_BITS = 64 * SKETCH
 _SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
+#: The most samples that a rule has.
+_MOST = 512
 _random = np.random.default_rng(85)
-_FACTORS = _random.integers(0, 1 << 31, (SAMPLES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_WEIGHTS = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _random.integers(0, 1 << 31, (_MOST, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_WEIGHTS, _WORD_FACTORS = (_random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (_MOST, 64))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-_PLACES = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+_PLACES = np.arange(_MOST, dtype=np.uint64) << np.uint64(32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,43 +67,58 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def samples(grams: np.ndarray) -> np.ndarray:
-    """MinHash: the least value of the set under each of ``SAMPLES`` hash functions."""
-    high = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; a shorter text is one shingle, and one without words has none."""
+    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+    if not words:
+        return np.array([], np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total += hashes[k : k + n] * _WORD_FACTORS[k]
+    return np.unique(_mixed(total))
+
+
+def samples(grams: np.ndarray, n: int = RULE.samples) -> np.ndarray:
+    """MinHash: the least value of the set under each of ``n`` hash functions."""
+    high, factors = (grams >> np.uint64(32)).astype(np.uint32), _FACTORS[:n]
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(high), 512):
-        np.minimum(least, (_FACTORS * high[None, at : at + 512]).min(axis=1), out=least)
+        np.minimum(least, (factors * high[None, at : at + 512]).min(axis=1), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, bands: int = RULE.bands) -> np.ndarray:
     """A 64-bit key for each band, of the band's number and its samples."""
-    mine = least.reshape(BANDS, VALUES).astype(np.uint64) * _WEIGHTS
-    keys = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0] + mine.sum(axis=1))
+    rows = least.reshape(bands, -1).astype(np.uint64)
+    mine = rows * _WEIGHTS[: rows.shape[1]]
+    keys = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _MIX[0] + mine.sum(axis=1))
     return keys.view(np.int64)
 
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """The parity bitmap: a bit is 1 if an odd number of (place, sample) fall on it."""
-    fallen = _mixed(_PLACES + least.astype(np.uint64)) % np.uint64(SKETCH_BITS)
+    fallen = _mixed(_PLACES[: len(least)] + least.astype(np.uint64)) % np.uint64(SKETCH_BITS)
     odd = np.bincount(fallen.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def estimate(differing: int) -> float:
-    """The similarity of two sets by the number of bits in which their sketches differ; 0 where these are half of all bits."""
-    return max(0.0, 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(1 - 2 * differing / SKETCH_BITS)) if 2 * differing < SKETCH_BITS else 0.0
+def estimate(differing: int, n: int = RULE.samples) -> float:
+    """The similarity of two sets by the number of bits in which sketches of ``n`` samples differ; 0 where these are half of all bits."""
+    return max(0.0, 1 + SKETCH_BITS / (4 * n) * math.log(1 - 2 * differing / SKETCH_BITS)) if 2 * differing < SKETCH_BITS else 0.0
 
 
-def most_differing(percent: int = PERCENT, deviations: float = 6.0) -> int:
-    """How many bits of the sketches may differ at similarity ``percent``: the mean and six standard deviations.
+def most_differing(rule: Rule = RULE, deviations: float = 6.0) -> int:
+    """How many bits of the sketches may differ at the rule's similarity: the mean and six standard deviations.
 
     The number of differing samples is binomial, and each flips two bits.
     """
-    s = percent / 100
-    shrink = math.exp(-4 * SAMPLES * (1 - s) / SKETCH_BITS)
+    s, n = rule.percent / 100, rule.samples
+    shrink = math.exp(-4 * n * (1 - s) / SKETCH_BITS)
     mean = SKETCH_BITS / 2 * (1 - shrink)
-    spread = math.sqrt((2 * shrink) ** 2 * SAMPLES * s * (1 - s) + mean * (1 - mean / SKETCH_BITS))
+    spread = math.sqrt((2 * shrink) ** 2 * n * s * (1 - s) + mean * (1 - mean / SKETCH_BITS))
     return math.ceil(mean + deviations * spread)
 
 
@@ -98,18 +126,18 @@ def _bytes(text: pa.Scalar) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _signed(shingle: int):
+def _signed(rule: Rule):
     """(doc_id, digest) and text to (doc_id, digest, n, keys, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, sketches = [], [], np.zeros((batch.num_rows, SKETCH), np.int64)
             for i, text in enumerate(batch.column(2)):
-                grams = shingles(_bytes(text), shingle)
+                grams = shingles(_bytes(text), rule.shingle)
                 counts.append(len(grams))
                 if len(grams):
-                    least = samples(grams)
-                    keys.append(band_keys(least))
+                    least = samples(grams, rule.samples)
+                    keys.append(band_keys(least, rule.bands))
                     sketches[i] = odd_sketch(least)
                 else:
                     keys.append([])
@@ -119,7 +147,7 @@ def _signed(shingle: int):
     return run
 
 
-def _verifier(shingle: int, percent: int):
+def _verifier(rule: Rule):
     """Of (a, b, text_a, text_b) the pairs (a, b) whose full sets are similar. Pairs with the same b often follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,51 +157,33 @@ def _verifier(shingle: int, percent: int):
             good = []
             for i, node in enumerate(b):
                 if node != held:
-                    held, grams = node, shingles(_bytes(batch.column(3)[i]), shingle)
-                other = shingles(_bytes(batch.column(2)[i]), shingle)
+                    held, grams = node, shingles(_bytes(batch.column(3)[i]), rule.shingle)
+                other = shingles(_bytes(batch.column(2)[i]), rule.shingle)
                 shared = len(np.intersect1d(other, grams, assume_unique=True))
-                if shared and 100 * shared >= percent * (len(other) + len(grams) - shared):
+                if shared and 100 * shared >= rule.percent * (len(other) + len(grams) - shared):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
-def _alike(percent: int) -> Column:
+def _alike(rule: Rule) -> Column:
     """Whether sizes and sketches of x and y allow the similarity."""
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     differing = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SKETCH_COLUMNS), F.lit(0))
-    return (100 * smaller >= percent * larger) & (differing <= most_differing(percent))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (key, i, j), which follow one another."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
-        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-        for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            part = batch.slice(int(at), int(end - at))
-            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
+    return (100 * smaller >= rule.percent * larger) & (differing <= most_differing(rule))
 
 
 class _Block:
     """The two sides of a block as arrays, and the pairs across that sizes and sketches allow."""
 
-    def __init__(self, block: pa.Table, percent: int) -> None:
+    def __init__(self, block: pa.Table, rule: Rule) -> None:
         number = lambda c: block.column(c).to_numpy()
         stray = block.column("stray").to_numpy()
         self.x, self.y = np.flatnonzero(stray), np.flatnonzero(~stray)
         self.node, self.root, self.n = number("node"), number("root"), number("n")
         self.sketch = np.stack([number(c) for c in _SKETCH_COLUMNS], axis=1).view(np.uint64)
-        self.percent, self.most = percent, most_differing(percent)
+        self.percent, self.most = rule.percent, most_differing(rule)
 
     def candidates(self, x: int) -> np.ndarray:
         """Places of the other side that ``x`` may be linked with, the most alike first."""
@@ -185,12 +195,12 @@ class _Block:
         return y[near[np.argsort(bits[near], kind="stable")]]
 
 
-def _meeting(percent: int):
+def _meeting(rule: Rule):
     """The rows of blocks that have a candidate on the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches):
-            block, met = _Block(table, percent), np.zeros(table.num_rows, bool)
+        for table in banding.blocks(batches):
+            block, met = _Block(table, rule), np.zeros(table.num_rows, bool)
             for x in block.x:
                 found = block.candidates(x)
                 met[found] = True
@@ -217,7 +227,7 @@ class _Shingles:
         return found
 
 
-def _across(shingle: int, percent: int):
+def _across(rule: Rule):
     """Links (a, b) of blocks that join different components, verified on the full sets."""
 
     def linked(grams: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -226,36 +236,22 @@ def _across(shingle: int, percent: int):
         flat = np.concatenate(others)
         at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
         shared = np.add.reduceat(grams[at] == flat, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
-        return 100 * shared >= percent * (len(grams) + sizes - shared)
-
-    def work(table: pa.Table) -> list[tuple[int, int]]:
-        block, sets, up, out = _Block(table, percent), _Shingles(table.column("text"), shingle), {}, []
-        key = table.column("key")[0].as_py()
-        keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)
-
-        def top(r: int) -> int:
-            while (above := up.get(r, r)) != r:
-                up[r] = r = up.get(above, above)
-            return r
-
-        for x in block.x:
-            found = block.candidates(x)
-            same = keys[found] == keys[x]
-            found = found[keys[x][same.argmax(axis=1)] == key] if len(found) else found
-            for at in range(0, len(found), 64):
-                left = [y for y in found[at : at + 64] if top(int(block.root[y])) != top(int(block.root[x]))]
-                if not left:
-                    continue
-                for y in np.array(left)[linked(sets[x], [sets[y] for y in left])]:
-                    if (p := top(int(block.root[y]))) != (q := top(int(block.root[x]))):
-                        up[p] = q
-                        out.append((int(block.node[x]), int(block.node[y])))
-        return out
+        return 100 * shared >= rule.percent * (len(grams) + sizes - shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches):
-            if out := work(table):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        for table in banding.blocks(batches):
+            block, sets = _Block(table, rule), _Shingles(table.column("text"), rule.shingle)
+            forest, key = banding.Forest(block.node, block.root), table.column("key")[0].as_py()
+            keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(-1, rule.bands)
+            for x in block.x:
+                found = block.candidates(x)
+                if len(found):  # a pair is judged in the first band that it shares
+                    found = found[keys[x][(keys[found] == keys[x]).argmax(axis=1)] == key]
+                for at in range(0, len(found), 64):
+                    left = forest.apart(x, found[at : at + 64])
+                    if len(left):
+                        forest.link(x, left[linked(sets[x], [sets[y] for y in left])])
+            yield forest.batch()
 
     return run
 
@@ -269,72 +265,63 @@ def _fetched(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scratch: li
     return written(own.dropDuplicates(["node"]), scratch)
 
 
-def _star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: list[str]) -> DataFrame:
-    """Links (a, b) among the different ``pairs`` of a node and its group's least one, whose texts are fetched and compared."""
+def _star_links(grouped: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+    """Links (a, b) of members and their group's least node, for pairs that the sketches allow, on the full sets."""
+    sketched = classes.select("node", "n", *_SKETCH_COLUMNS)
+    close = banding.stars(grouped).join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(_alike(rule))
+    pairs = written(close.select("a", "b"), scratch)
     own = _fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, texts, scratch)
     first, second = (own.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return written(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, percent), "a long, b long"), scratch)
+    return written(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(rule), "a long, b long"), scratch)
 
 
-def _stray_links(members: DataFrame, near: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: list[str]) -> DataFrame:
-    """Links (a, b) between components within groups, but those with a group's least node, which are known."""
-    roots = near.select(F.col("node").alias("__node"), "root")
-    rooted = written(members.join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root")), scratch)
-    # Groups that lie in more than one component; home is that of the least node.
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("home")).filter("low <> high")
-    apart = written(rooted.join(split.select("key", "home"), "key").withColumn("stray", F.col("root") != F.col("home")), scratch)
-    chunks = lambda condition: F.ceil(F.count_if(condition) / CHUNK)
-    sizes = apart.groupBy("key").agg(chunks(F.col("stray")).alias("ni"), chunks(F.col("node") != F.col("lead")).alias("nj"))
-    apart = apart.join(sizes, "key")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    strays = apart.filter("stray").select("key", own("ni").alias("i"), each("nj").alias("j"), F.lit(True).alias("stray"), "node", "root")
-    others = apart.filter("node <> lead").select("key", each("ni").alias("i"), own("nj").alias("j"), F.lit(False).alias("stray"), "node", "root")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    kinds = "key long, i long, j long, stray boolean, node long, root long"
-    sketched = classes.select("node", "n", *_SKETCH_COLUMNS)
-    met = written(blocks(strays.union(others).join(sketched, "node")).mapInArrow(_meeting(percent), kinds), scratch)
+def _stray_links(grouped: DataFrame, near: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+    """Links (a, b) between the components within groups."""
+    rows = banding.strays(grouped, near, scratch).join(classes.select("node", "n", *_SKETCH_COLUMNS), "node")
+    met = written(banding.in_blocks(rows).mapInArrow(_meeting(rule), banding.BLOCK), scratch)
     fetched = _fetched(met.select("node").distinct(), classes, texts, scratch)
     full = met.join(classes.select("node", "n", "keys", *_SKETCH_COLUMNS), "node").join(fetched, "node")
-    return written(blocks(full).mapInArrow(_across(shingle, percent), "a long, b long"), scratch)
+    return written(banding.in_blocks(full).mapInArrow(_across(rule), "a long, b long"), scratch)
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, text): texts as bytes; a null one has the digest of an empty one."""
+    digest = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    return docs.select(docs[id_col].alias("doc_id"), digest.alias("digest"), docs[text_col].cast("binary").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def roots_of(texts: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+    """(digest, least, n, root) of every different text of ``texts``: its least id, the size of its set, and one root for all that links reach.
+
+    Texts without words have no links, and each is its own root.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    signed = texts.mapInArrow(_signed(rule), f"doc_id {kind}, digest binary, n long, keys array<long>, {', '.join(f'{c} long' for c in _SKETCH_COLUMNS)}")
+    one = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "keys", *_SKETCH_COLUMNS)).alias("m"))
+    classes = written(one.select("digest", "least", "m.*").withColumn("node", F.monotonically_increasing_id()), scratch)
+    grouped = banding.members(classes.select("node", "keys"), scratch)
+    near = components(_star_links(grouped, classes, texts, rule, scratch))
+    near = banding.joined(near, _stray_links(grouped, near, classes, texts, rule, scratch))
+    roots = near.select(F.col("node").alias("__node"), "root")
+    return classes.select("digest", "node", "least", "n").join(roots, F.col("node") == F.col("__node"), "left").select("digest", "least", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """One row a document: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach) and kept.
 
     ``kept`` is true where the document's id is the component's. Null and empty texts, and texts without words, have no shingles and
     are linked with nothing. Rows with one id stay rows of their own, each with its own text's component. Null ids are passed
     over for component_id, which is null only where all ids of a component are; such rows are kept. An empty table stays empty.
     ``docs`` is read four times. Other columns are not read, whatever their names. Texts may be of any length: a task holds
-    the texts of one batch and the shingles of two of them, 8 bytes each.
+    the texts of one batch, or of one block and KEPT_BYTES of shingles.
     """
-    spark, scratch = docs.sparkSession, []
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[id_col].alias("doc_id"), F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))).alias("digest"), docs[text_col].cast("binary").alias("text"))
-    signed = texts.mapInArrow(_signed(shingle), f"doc_id {kind}, digest binary, n long, keys array<long>, {', '.join(f'{c} long' for c in _SKETCH_COLUMNS)}")
-    one = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "keys", *_SKETCH_COLUMNS)).alias("m"))
-    classes = written(one.select("digest", "least", "m.*").withColumn("node", F.monotonically_increasing_id()), scratch)
-    sketched = classes.select("node", "n", *_SKETCH_COLUMNS)
-
-    dealt = classes.select(F.explode("keys").alias("key"), "node")
-    groups = dealt.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = written(dealt.join(groups, "key"), scratch)
-    stars = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    close = stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(_alike(percent))
-    near = components(_star_links(written(close.select("a", "b"), scratch), classes, texts, shingle, percent, scratch))
-    more = _stray_links(members, near, classes, texts, shingle, percent, scratch)
-    if not more.isEmpty():
-        near = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-    roots = near.select(F.col("node").alias("__node"), "root")
-    rooted = classes.select("digest", "node", "least", "n").join(roots, F.col("node") == F.col("__node"), "left").select("digest", "least", "n", F.coalesce("root", "node").alias("root"))
+    scratch: list[str] = []
+    texts = texts_of(docs, id_col, text_col)
+    rooted = written(roots_of(texts, rule, scratch), scratch)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(rooted.join(least, "root").select(F.col("digest").alias("d"), "n", "component_id"))
     for path in scratch:
-        remove(spark, path)
+        remove(docs.sparkSession, path)
     own = texts.select("doc_id", "digest").join(found, F.col("digest") == F.col("d"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

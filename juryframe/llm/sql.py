@@ -98,7 +98,7 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, array_to_strin
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM marked"""
 
 
-def odd_sketch_sql(shingle: int = odd_sketch.SHINGLE, percent: int = odd_sketch.PERCENT) -> str:
+def odd_sketch_sql(shingle: int = odd_sketch.RULE.shingle, percent: int = odd_sketch.RULE.percent) -> str:
     """All pairs that share a shingle, counted exactly; equal sets are one node. Ids are taken to be unique, as in the given tables."""
     gram = " || ' ' || ".join(["words[i]", *[f"words[i + {k}]" for k in range(1, shingle)]])
     return f"""

@@ -151,6 +151,20 @@ def test_recall_against_all_pairs(documents, prose):
         assert r["class_size"] == sum(x["class_id"] == r["class_id"] for x in found.values())
 
 
+def test_template_on_a_third_of_the_rows(spark, documents, prose, monkeypatch):
+    """Texts of one template that are hardly alike: no pair is handed on, and the near copies among them are found."""
+    from juryframe.llm import banding
+
+    monkeypatch.setattr(banding, "CHUNK", 64)
+    rng, base = random.Random(6), prose(100, 1)
+    texts = [substituted(base, 24, rng) for _ in range(300)] + [prose(100, 7000 + i) for i in range(600)]
+    texts += [substituted(texts[i], 1, rng) for i in range(0, 300, 10)]
+    found = {r["doc_id"]: r for r in ee.edit_fingerprints(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    near = [(900 + k, i) for k, i in enumerate(range(0, 300, 10)) if ee.likeness(*[ee.parsed(found[x]["fingerprint"]) for x in (900 + k, i)]) >= ee.ALIKE]
+    hits = sum(found[a]["class_id"] == found[b]["class_id"] for a, b in near)
+    assert len(near) > 20 and hits >= 0.9 * len(near) and all(found[i]["class_size"] == 1 for i in range(300, 900))
+
+
 def test_single_bands_find_links(prose):
     """Of pairs at the least likeness, taken one by one, nine tenths share a band."""
     rng, hits, total = random.Random(5), 0, 0

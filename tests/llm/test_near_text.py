@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from juryframe.llm import banding, near_text
+from juryframe.llm import banding, near_text, odd_sketch
 from tests.llm.test_simhash import fingerprint
 
 
@@ -55,24 +55,22 @@ def test_groups_are_those_of_all_pairs(spark, texts):
     assert [least[found[k]] for k in range(len(texts))] == brute_roots(texts)
 
 
-def test_large_groups_are_dealt_again(spark, texts, monkeypatch):
-    monkeypatch.setattr(banding, "GROUP", 8)
-    monkeypatch.setattr(banding, "ROUNDS", 2)
+def test_large_groups_in_small_blocks(spark, texts, monkeypatch):
+    monkeypatch.setattr(banding, "CHUNK", 8)
     test_groups_are_those_of_all_pairs(spark, texts)
 
 
-def test_hot_passage_is_not_compared_pairwise(spark, prose, monkeypatch):
-    """Texts that share a long passage but are not similar: candidates stay far below all pairs."""
-    passage, pairs, verified = prose(60, 900), [], banding._verified
-    monkeypatch.setattr(banding, "GROUP", 16)
-    monkeypatch.setattr(banding, "ROUNDS", 2)
-    monkeypatch.setattr(banding, "_verified", lambda p, *rest: (pairs.append(p.distinct().count()), verified(p, *rest))[1])
+def test_hot_passage_is_not_compared_word_by_word(spark, prose, monkeypatch):
+    """Texts that share a long passage but are not similar: few are fetched to be compared."""
+    passage, fetched, own = prose(60, 900), [], odd_sketch._fetched
+    monkeypatch.setattr(banding, "CHUNK", 16)
+    monkeypatch.setattr(odd_sketch, "_fetched", lambda nodes, *rest: (fetched.append(nodes.count()), own(nodes, *rest))[1])
     texts = [f"{passage} {prose(60, 1000 + i)}" for i in range(120)]
     texts += [changed(texts[7], 2, 1), changed(texts[100], 2, 2)]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     found = {r["k"]: r["root"] for r in near_text.near_texts(df, key_col="k").collect()}
     assert found[7] == found[120] and found[100] == found[121] and len(set(found.values())) == 120
-    assert sum(pairs) < 12 * len(texts)
+    assert sum(fetched) < len(texts) / 2
 
 
 def test_stage_removes_near_copies_beyond_two_bits(spark, prose, tmp_path):

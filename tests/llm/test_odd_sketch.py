@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from juryframe.llm import odd_sketch
+from juryframe.llm import banding, odd_sketch
 from juryframe.llm.queries import op12_odd_sketches
 from tests.llm.test_near_text import changed
 
@@ -124,7 +124,7 @@ def test_template_pairs_are_told_apart_by_sketches(spark, prose, tmp_path, docum
 
 def test_large_groups_in_small_blocks(spark, documents, texts, tmp_path, monkeypatch):
     """Blocks of a few texts, sets that are not kept, and many near copies just below the limit of one another."""
-    monkeypatch.setattr(odd_sketch, "CHUNK", 5)
+    monkeypatch.setattr(banding, "CHUNK", 5)
     monkeypatch.setattr(odd_sketch, "KEPT_BYTES", 4000)
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
     base = texts[0]
