@@ -203,6 +203,12 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def _long(text: str) -> int | None:
+    """The number that a field holds, if it is one of 64 bits."""
+    number = int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
 def _parsed(f: dict[str, str], block: bytes | None) -> tuple | None:
     kind, stated = f.get("warc-type"), f.get("warc-segment-number")
     if kind not in ("response", "revisit", "continuation"):
@@ -211,7 +217,7 @@ def _parsed(f: dict[str, str], block: bytes | None) -> tuple | None:
     sound = block is not None and (stated is None or number is not None) and (total is None or _number(total) is not None)
     url = None if f.get("x-page-url") == "none" else f.get("warc-target-uri")
     page, refers = f.get("x-page-id", ""), f.get("x-refers-to-page-id", "")
-    ids = [int(x) if re.fullmatch(r"-?\d{1,18}|-?[1-8]\d{18}", x) else None for x in (page, refers)]
+    ids = [_long(x) for x in (page, refers)]
     if kind == "continuation" and number is None:
         number = 0
     return (f.get("warc-segment-origin-id", f.get("warc-record-id")), number, _number(total), ids[0], url, kind, ids[1], f.get("warc-payload-digest"), sound, block)

@@ -141,3 +141,20 @@ def test_empty(spark, pages, tmp_path):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted([tuple(r) for r in op10_warc(spark, sf_dir).collect()], key=str) == expected(rows)
+
+
+def test_all_longs_survive(spark, tmp_path):
+    """Ids at both ends of the range, and the numbers around a power of ten, for pages and for what they refer to."""
+    ids = [2**63 - 1, -(2**63), 9_100_000_000_000_000_000, -9_200_000_000_000_000_000, 8_999_999_999_999_999_999, 10**18, -(10**18), 0, -1]
+    rows = [(i, f"http://a.b/{k}", f"page {k}") for k, i in enumerate(ids)] + [(i + (1 if i < 0 else -1), None, f"page {k}") for k, i in enumerate(ids[:4])]
+    path = str(tmp_path / "archive")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.read_warc(spark, path).collect()
+    assert sorted(r["page_id"] for r in found) == sorted(r[0] for r in rows)
+    firsts = {html: min(r[0] for r in rows if r[2] == html) for _, _, html in rows}
+    assert all(r["refers_to"] == (None if r["page_id"] in firsts.values() else firsts[next(x[2] for x in rows if x[0] == r["page_id"])]) for r in found)
+
+
+@pytest.mark.parametrize("text", ["9223372036854775808", "-9223372036854775809", "99999999999999999999", "+1", "1.0", " 1", "", "\u0661"])
+def test_no_other_text_is_an_id(text):
+    assert warc._long(text) is None
