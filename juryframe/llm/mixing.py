@@ -151,13 +151,16 @@ def mix_documents(
     all others kept, whatever their names. A null source is a source of its own, after all others. Sources without words
     have target 0, and their documents one copy. Rows that repeat are rows of their own. An empty table stays empty. The
     outcome depends on ids, texts and sources alone, not on how rows are dealt to tasks. Rows of a cell are dealt by the
-    hash of id and text; only rows with the same id, or none, and the same text stay together.
+    hash of id and text; only rows with the same id, or none, and the same text stay together. Texts may be of any length: they are
+    counted and hashed where they lie, and move only if the caller keeps them.
     """
     added = [prefix + n for n in NAMES]
     size, source_size, target, rate_name, copies_name = added
     own = docs.drop(*added)
-    src, hashed, salt, before, n, taken, parts_of = unused([*own.columns, *added], "__src", "__hash", "__salt", "__before", "__n", "__copies", "__parts")
-    keyed = own.withColumns({size: word_count(F.col(text_col)), src: _source_key(F.col(source_col)), hashed: F.xxhash64(F.col(id_col), F.col(text_col))})
+    src, hashed, second, salt, before, n, taken, parts_of = unused([*own.columns, *added], "__src", "__hash", "__second", "__salt", "__before", "__n", "__copies", "__parts")
+    # Two hashes of id and text order the rows of a cell, so that texts which the caller drops need not move.
+    hashes = {hashed: F.xxhash64(F.col(id_col), F.col(text_col)), second: F.xxhash64(F.lit("second"), F.col(id_col), F.col(text_col))}
+    keyed = own.withColumns({size: word_count(F.col(text_col)), src: _source_key(F.col(source_col)), **hashes})
     thin = cut(keyed.select(F.col(src).alias("src"), F.col(size).alias("z"), F.col(hashed).alias("h")))
     cells = cut(thin.groupBy("src", "z").agg(F.count(F.lit(1)).alias("n")))
     most = F.broadcast(cells.agg(F.greatest(F.lit(LARGE_CELL), F.ceil(F.sum("n") * F.lit(LARGE_SHARE))).alias("most")))  # one row
@@ -182,12 +185,16 @@ def mix_documents(
         )
     )
     dealt = keyed.join(large.select(F.col("src").alias(src), F.col("z").alias(size), F.col("parts").alias(parts_of)), [src, size], "left").withColumn(salt, part(F.col(hashed), F.col(parts_of)))
-    place = F.col(before) + F.row_number().over(Window.partitionBy(src, size, salt).orderBy(hashed, F.col(id_col), F.col(text_col)))
+    place = F.col(before) + F.row_number().over(Window.partitionBy(src, size, salt).orderBy(hashed, F.col(id_col), second))
     count, rest = F.floor(F.col(taken) / F.col(n)), F.col(taken) % F.col(n)
     return dealt.join(cut(parts), [src, size, salt]).withColumn(copies_name, (count + F.when(place <= rest, 1).otherwise(0)).cast("int")).select(*own.columns, *added)
 
 
 def take_copies(mixed: DataFrame, columns: list[str], *, prefix: str = "mix_") -> DataFrame:
-    """The mix itself: each row of ``mix_documents`` as often as its copies say."""
+    """The mix itself: each row of ``mix_documents`` as often as its copies say, with the given columns.
+
+    Nothing is shuffled. Rows without copies, or whose copies are null, are left out; an empty table stays empty; nulls and texts of any
+    length are passed on as they are, and repeated rows each count for themselves.
+    """
     (copy,) = unused(mixed.columns, "__copy")
     return mixed.filter(F.col(prefix + "copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(prefix + "copies")))).select(*columns)

@@ -103,3 +103,40 @@ def test_query(spark, sf_dir):
     assert found.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
     assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert found.filter((F.col("taken") > 2 * F.col("size"))).isEmpty()
+
+
+def test_texts_do_not_move(spark, sf_dir):
+    """What is shuffled for the query are hashes and sizes; its scan is the only place that sees texts."""
+    plan = op1_mixture(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line]
+    assert exchanged and not any("text#" in line for line in exchanged)
+
+
+def test_query_is_that_of_the_operator(spark, documents, odd_rows, tmp_path):
+    """Sizes, targets and words taken against plain Python over all rows."""
+    from collections import defaultdict
+
+    documents(odd_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op1_mixture(spark, str(tmp_path)).collect()
+    words = lambda t: len((t or "").encode().split())
+    sizes = defaultdict(int)
+    for _, t, _, s in odd_rows:
+        sizes[s] += words(t)
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(((r["doc_id"], r["size"]) for r in found), key=key) == sorted(((i, words(t)) for i, t, _, _ in odd_rows), key=key)
+    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order) if sizes[s]}
+    total, target = 1.5 * sum(sizes.values()), {s: 0.0 for s in order}
+    while left:
+        share = {s: total * w / sum(left.values()) for s, w in left.items()}
+        over = [s for s in left if share[s] > 2 * sizes[s]]
+        for s in over or list(left):
+            target[s] = 2 * sizes[s] if over else share[s]
+            total -= target[s]
+            del left[s]
+    by_size = defaultdict(set)
+    for s in order:
+        by_size[sizes[s]].add(round(target[s], 3))
+    for r in found:
+        assert round(r["target"], 3) in by_size[r["source_size"]]
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
