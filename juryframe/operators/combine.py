@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juryframe.schema import ALIASES
@@ -36,6 +36,16 @@ def stack_rows(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def prefixed(df: DataFrame, alias: str, key: str = "clip_id") -> DataFrame:
+    """An expert's own generic columns (features, transcription, wer) under the prefix of its alias, as the clip table has them."""
+    return df.select(key, *[F.col(c).alias(f"{ALIASES[alias]}_{c}") for c in ("features", "transcription", "wer") if c in df.columns])
+
+
+def override(shared: Column, own: Column) -> Column:
+    """The settings (maps) that all variants share, with a variant's own ones in place of those of the same name."""
+    return F.map_concat(F.map_filter(shared, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
+
+
 def variant_grid(datasets: DataFrame, experts: list[str]) -> DataFrame:
     """(dataset, expert) of all different datasets and known experts; unknown aliases are left out, none left is an error."""
     known = [e for e in experts if e in ALIASES]

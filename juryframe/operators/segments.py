@@ -34,6 +34,12 @@ def truncate(parts: DataFrame, longest: int) -> DataFrame:
     return parts.filter(F.col("start") < longest).withColumn("frames", F.slice("frames", F.lit(1), (F.lit(longest) - F.col("start")).cast("int")))
 
 
+def trim(parts: DataFrame, valid: Column) -> DataFrame:
+    """The first ``valid`` frames of each sequence, a number that a part can tell; the rest is padding."""
+    left = F.least(F.greatest(valid - F.col("start"), F.lit(0)), F.size("frames")).cast("int")
+    return parts.withColumn("frames", F.slice("frames", F.lit(1), left)).filter(F.size("frames") > 0)
+
+
 def pad(parts: DataFrame, key: str, width: int, to: int | None = None, part_rows: int = PART) -> DataFrame:
     """``parts`` with mask (true for each frame), and parts of zero frames (mask false) from each sequence's end to ``to`` frames.
 
@@ -78,3 +84,25 @@ def flat_values(parts: DataFrame, key: str, width: int) -> DataFrame:
     at = (F.col("__offset") + F.col("start")) * width
     rows = parts.join(begins, F.col(key) == F.col("__key")).select(at.alias("__at"), F.posexplode(F.flatten("frames")).alias("__i", "value"))
     return rows.select((F.col("__at") + F.col("__i")).alias("position"), "value")
+
+
+def nested(values: DataFrame, sizes: DataFrame, key: str, width: int, part_rows: int = PART) -> DataFrame:
+    """Parts from (position, value) and the sequences' (key, length) in order of ``key``, an integer: ``flat_values`` turned back.
+
+    A part's values lie side by side. They find it by ranges of ``part_rows`` frames of positions, of which a part meets two at most, so
+    this is a join on equal numbers. Values beyond the last sequence are left out.
+    """
+    begins = fr.offsets(sizes.select(key, "length"), key, "length").filter("length > 0")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / part_rows)))
+    spans = begins.select(key, "offset", "length", part.alias("part"))
+    first = F.col("offset") + F.col("part") * part_rows
+    last = F.col("offset") + F.least("length", (F.col("part") + 1) * part_rows) - 1
+    spans = spans.select(key, "part", first.alias("__first"), last.alias("__last"))
+    spans = spans.withColumn("__range", F.explode(F.array_distinct(F.array(F.floor(F.col("__first") / part_rows), F.floor(F.col("__last") / part_rows)))))
+    frame = F.floor(F.col("position") / width)
+    rows = values.select(frame.alias("__frame"), (F.col("position") % width).alias("__d"), "value").withColumn("__range", F.floor(F.col("__frame") / part_rows))
+    found = rows.join(spans, "__range").filter("__frame between __first and __last")
+    grouped = found.groupBy(key, "part", "__first").agg(F.sort_array(F.collect_list(F.struct("__frame", "__d", "value"))).alias("v"))
+    n = (F.size("v") / width).cast("int")
+    frames = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.slice("v", i * width + 1, F.lit(width)), lambda x: x["value"]))
+    return grouped.select(key, "part", (F.col("part") * part_rows).alias("start"), frames.alias("frames"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from juryframe.functions import choice, frames, text
 from juryframe.operators import combine, pca, report, router, segments, series, split, stats, synthetic, voting
-from juryframe.plans import routing, storage  # noqa: F401  their queries are entered too
+from juryframe.plans import assembly, routing, storage  # noqa: F401  their queries are entered too
 from juryframe.plans.fragments import FRAMES, LABELLED, SCORES, SPLIT, STEPS
 from juryframe.plans.registered import QUERIES, SQL, query, r  # noqa: F401
 from juryframe.schema import EXPERTS, rounded, score_array

@@ -72,3 +72,17 @@ def test_flat_values(parts, sequences):
     found = segments.flat_values(parts, "clip", 3).orderBy("position").collect()
     assert [r["value"] for r in found] == [x for k in sorted(sequences) for f in sequences[k] for x in f]
     assert [r["position"] for r in found] == list(range(len(found)))
+
+
+@pytest.mark.parametrize("valid", [0, 1, 8, 12, 100])
+def test_trim(parts, sequences, valid):
+    found = segments.trim(parts, F.col("clip") * 0 + valid)
+    assert whole(found) == {k: v[:valid] for k, v in sequences.items() if valid}
+
+
+@pytest.mark.parametrize("part_rows", [1, 4, 8, 100])
+def test_nested_turns_flat_values_back(parts, sequences, part_rows):
+    flat = segments.flat_values(parts, "clip", 3)
+    found = segments.nested(flat, segments.lengths(parts, "clip"), "clip", 3, part_rows).cache()
+    assert whole(found) == sequences
+    assert max(len(r["frames"]) for r in found.collect()) <= part_rows
