@@ -200,7 +200,11 @@ def links(distinct: DataFrame, *, group: int = GROUP) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, key_col: str, text_col: str = "text") -> DataFrame:
-    """(key_col, root): near-duplicates by shingles of five words and a similarity of 0.8 or more; see ``near_text.near_texts``."""
+    """(key_col, root): near-duplicates by shingles of five words and a similarity of 0.8 or more; see ``near_text.near_texts``.
+
+    Keys are unique and not null. Null and empty texts, and texts without words, are one group; repeated rows and ties have one root; an
+    empty table stays empty; texts may be of any length, and other columns are not read, whatever their names.
+    """
     return near_texts(docs, key_col=key_col, text_col=text_col)
 
 

@@ -103,7 +103,9 @@ def reputation(hosts: DataFrame, limit: float = LIMIT, suffixes: Sequence[str] =
     """(name, domain, suffix, n, bad, a, b) of (name, n, bad): the beta posterior of each host's rate of bad pages.
 
     To the rate of all pages one more counts that is bad to the degree of ``limit``, so that without outcomes nothing is known
-    to be above it. Each level is written once, as it is used for its fit and for the level below.
+    to be above it. Each level is written once, as it is used for its fit and for the level below. Names are different and not null; the
+    empty one is a name like any other. Hosts with n 0 have their domain's prior, ties are not broken but shared, an empty table stays empty, and other
+    columns stay as they are.
     """
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("m")
@@ -117,7 +119,11 @@ def reputation(hosts: DataFrame, limit: float = LIMIT, suffixes: Sequence[str] =
 
 
 def junk_outcomes(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", share: float = JUNK_SHARE) -> DataFrame:
-    """(page_id, bad): pages that are their own outcomes. More than ``share`` of a bad page's characters are junk; null is none."""
+    """(page_id, bad): pages that are their own outcomes. More than ``share`` of a bad page's characters are junk; null is none.
+
+    A row for each of ``pages``, repeated ones and null ids too; a share equal to the limit is not beyond it, so an empty html is not bad. An empty
+    table stays empty, html may be of any length, and other columns are not read, whatever their names.
+    """
     html = F.coalesce(pages[html_col], F.lit(""))
     return pages.select(pages[id_col].alias("page_id"), (F.regexp_count(html, F.lit(JUNK)) > F.lit(share) * F.length(html)).alias("bad"))
 

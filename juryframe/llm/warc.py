@@ -277,7 +277,7 @@ def read_warc(spark: SparkSession, path: str | list[str], *, with_payload: bool
     responses. A record with a malformed length or segment number is a row that is not whole, and reading goes on after it;
     a damaged gzip member is passed over. Continuations without their first record are left out. Folders without
     records give no row. Segments are sought within an archive's folder. Only records in segments move between tasks; a
-    page of any length is put together in one row.
+    page of any length is put together in one row, so its segments have to fit into one task together, and a file into another.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     records = files.mapInArrow(_parse, "archive string, " + _FIELDS)
