@@ -73,10 +73,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(rows, ["run", "tag"], ["ts", "event_id"], STEP_SPAN).select("run", "tag", (F.col("place") + 1).alias("step"), "value", "place")
 
 
+#: What prices are divided by to make rates: a prime, so that no mean of them lies half-way between two rounded numbers.
+PRICE_UNIT = 1009
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(method, wer) from part: a brand with its size as seed, the mean price as rate."""
     name = F.concat("p_brand", F.lit("-seed"), "p_size")
-    return table(spark, sf_dir, "part").groupBy(name.alias("method")).agg((F.avg("p_retailprice") / 1000).alias("wer"))
+    return table(spark, sf_dir, "part").groupBy(name.alias("method")).agg((F.avg("p_retailprice") / PRICE_UNIT).alias("wer"))
 
 
 def run_probs(spark: SparkSession, sf_dir: str, temperature: float = 0.5) -> DataFrame:
