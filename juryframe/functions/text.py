@@ -41,8 +41,8 @@ def _trimmed(a: Column, b: Column) -> Column:
 
     def common(x: Column, y: Column) -> Column:
         same = F.zip_with(x, y, lambda v, w: v.eqNullSafe(w) & v.isNotNull())
-        place = F.array_position(same, F.lit(False))
-        return F.when(place > 0, place - 1).otherwise(F.size(same).cast("long")).cast("int")
+        ended = F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False))
+        return (ended - 1).cast("int")
 
     def cut(x: Column, ends: Column) -> Column:
         return F.slice(x, ends["head"] + 1, F.size(x) - ends["head"] - ends["tail"])
@@ -79,7 +79,8 @@ BANDS = (8, 32, 128, 512, 2048)
 
 def _banded(a: Column, b: Column) -> Column:
     """The distance of two texts: in a band about the diagonal that widens until it holds the distance."""
-    tries = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in BANDS]
+    # A distance beyond the band is -1, which the filter drops; it is worked out once.
+    tries = [F.get(F.filter(F.array(F.levenshtein(a, b, k)), lambda d: d >= 0), F.lit(0)) for k in BANDS]
     return F.coalesce(*tries, F.levenshtein(a, b))
 
 

@@ -43,12 +43,16 @@ def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_text with a hypothesis for each expert: words dropped, doubled or reversed at fixed places."""
+    """clip_text with a hypothesis for each expert: words dropped, doubled or reversed at fixed places.
+
+    Clips are dealt out evenly first: what is done with two long texts takes far longer than moving one, and a file's clips are one task's.
+    """
     ref, none = F.col("ref"), F.array().cast("array<string>")
     dropped = F.flatten(F.transform(ref, lambda x, i: F.when((i + 1) % 5 == 0, none).otherwise(F.array(x))))
     doubled = F.flatten(F.transform(ref, lambda x, i: F.when((i + 1) % 7 == 0, F.array(x, x)).otherwise(F.array(x))))
     reversed_ = F.transform(ref, lambda x, i: F.when((i + 1) % 4 == 0, F.reverse(x)).otherwise(x))
-    return clip_text(spark, sf_dir).select("clip_id", "ref", dropped.alias("hubert"), doubled.alias("whisper"), reversed_.alias("w2v2"))
+    dealt = clip_text(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip_id")
+    return dealt.select("clip_id", "ref", dropped.alias("hubert"), doubled.alias("whisper"), reversed_.alias("w2v2"))
 
 
 def expert_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
